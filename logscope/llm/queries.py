@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from logscope.llm.common import read
 from logscope.llm.op4_mixing import mix
 from logscope.llm.op6_rans import read_blocks, write_blocks
+from logscope.llm.op8_near_dup import near_duplicates
 from logscope.llm.op9_token_counts import token_counts
 
 
@@ -27,6 +28,10 @@ def op6_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_blocks(blocks, freq)
 
 
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -35,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_mixing": op4_mixing,
         "op6_rans": op6_rans,
+        "op8_near_dup": op8_near_dup,
         "op9_token_counts": op9_token_counts,
     }
 
