@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from logscope.llm.common import read
+from logscope.llm.op2_decontamination import contaminated
 from logscope.llm.op4_mixing import mix
+from logscope.llm.op10_top_k import top_k
 from logscope.llm.op6_rans import read_blocks, write_blocks
 from logscope.llm.op8_near_dup import near_duplicates
 from logscope.llm.op9_token_counts import token_counts
@@ -19,6 +21,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
@@ -36,12 +42,18 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_decontamination": op2_decontamination,
         "op4_mixing": op4_mixing,
         "op6_rans": op6_rans,
         "op8_near_dup": op8_near_dup,
         "op9_token_counts": op9_token_counts,
+        "op10_top_k": op10_top_k,
     }
 
 
