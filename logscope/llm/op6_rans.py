@@ -236,13 +236,14 @@ def read_blocks(blocks: DataFrame, freq: np.ndarray, id_col: str = "doc_id") ->
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Table(freq)
         for b in batches:
-            for start, blob in zip(b.column(0), b.column(1), strict=True):
+            for part, seq, blob in zip(*b.columns, strict=True):
                 block = Block(blob.as_py(), t)
                 ids = block.ids().astype("<u4")
                 ends = np.cumsum(block.lengths)
                 begins = ends - block.lengths
                 crcs = [zlib.crc32(ids[i:j]) for i, j in zip(begins, ends, strict=True)]
-                yield pa.record_batch([pa.array(block.doc_ids, pa.int64()), pa.array(begins + start.as_py()), pa.array(block.lengths), pa.array(crcs, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
+                yield pa.record_batch([pa.array([part.as_py()] * len(begins), pa.int32()), pa.array([seq.as_py()] * len(begins), pa.int32()), pa.array(block.doc_ids, pa.int64()), pa.array(begins), pa.array(block.lengths), pa.array(crcs, pa.int64())], names=["part", "seq", "id", "begin", "n_tokens", "ids_crc32"])
 
-    placed = blocks.select("part", "seq", "blob").join(starts, ["part", "seq"]).select("start", "blob")
-    return placed.mapInArrow(decode, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
+    # one small row a block, joined with small rows; the blocks themselves aren't moved
+    decoded = blocks.select("part", "seq", "blob").mapInArrow(decode, "part int, seq int, id long, begin long, n_tokens long, ids_crc32 long")
+    return decoded.join(starts, ["part", "seq"]).select(F.col("id").alias(id_col), (F.col("start") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")

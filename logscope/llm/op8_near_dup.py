@@ -7,7 +7,7 @@ signature value, and dropped as soon as the posterior probability that its simil
 reaches the threshold falls below ``miss``.  What survives is confirmed on the full sets.
 
 Pairs are never listed within a group of copies.  First the nodes of a band bucket are
-compared with one leader, drawn by hash; confirmed links give components.  Then only
+compared with its most connected node; confirmed links give components.  Then only
 pairs of one bucket whose nodes lie in different components are compared, all of them,
 so no candidate is left out; full sets are read first for one pair of every two
 components and then for the pairs that are still apart.
@@ -246,17 +246,22 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5, mi
     )
     sketches = nodes.select("node", "n", *(f"s{i}" for i in range(BATCHES)))
 
-    # buckets with more than one node, each with the leader of the least hash
+    # buckets with more than one node; the leader is the node that shares most bands with
+    # most nodes, so that copies meet the text they were made from
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    draw = F.struct(F.xxhash64("node").alias("draw"), "node")
-    lead = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(draw).alias("lead")).where("size > 1")
-    shared = table(members.join(lead.select("bucket", F.col("lead.node").alias("leader")), "bucket"), "buckets")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = table(members.join(sizes, "bucket"), "buckets")
+    central = shared.groupBy("node").agg(F.sum("size").alias("reach"))
+    draw = F.struct(F.col("reach"), F.xxhash64("node").alias("draw"), F.col("node").alias("leader"))
+    shared = shared.select("bucket", "node").join(central, "node")
+    lead = shared.groupBy("bucket").agg(F.max(draw).alias("lead"))
+    shared = table(shared.select("bucket", "node").join(lead, "bucket").select("bucket", "node", "lead.leader", "lead.reach"), "led")
 
     groups = _Groups(docs.sparkSession, lambda pairs: _confirmed(pairs, docs, nodes, threshold, width, text_col))
-    star = shared.where("node != leader").select("node", "leader").distinct()
+    star = shared.where("node != leader").groupBy("node", "leader").agg(F.max("reach").alias("reach"))
     star = star.alias("p").join(sketches.alias("x"), F.col("p.node") == F.col("x.node")).join(sketches.alias("y"), F.col("p.leader") == F.col("y.node"))
-    star = table(star.where(_stays(threshold, miss, "x", "y")).select(F.col("p.node").alias("a"), F.col("p.leader").alias("b")), "star")
-    groups.ask(star.groupBy("a").agg(F.min_by("b", F.xxhash64("b")).alias("b")))
+    star = table(star.where(_stays(threshold, miss, "x", "y")).select(F.col("p.node").alias("a"), F.col("p.leader").alias("b"), "reach"), "star")
+    groups.ask(star.groupBy("a").agg(F.max_by("b", F.struct("reach", "b")).alias("b")))
     groups.ask_across(star)
 
     # what stars left apart: all pairs of a bucket across components

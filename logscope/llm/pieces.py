@@ -18,6 +18,8 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -51,14 +53,17 @@ class WholeTokens:
         self.lib = Tokenizer.from_file(path)
         self.vocab = self.lib.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.vocab <= 1 << 16 else "<u4")
+        self._code = "H" if self.dtype.itemsize == 2 else "I"
+        self._merge = self.lib.model.tokenize
         self._letters = byte_letters()
         self.whole = self._prove()
         spaces = [c for c in map(chr, range(0x3001)) if c.isspace()]
         gap = self.lib.encode("a b", add_special_tokens=False).ids
         self.odd_spaces = [c for c in spaces if self.lib.encode(f"a{c}b", add_special_tokens=False).ids != gap]
         self.special = tuple(t.content for t in self.lib.get_added_tokens_decoder().values())
-        self.ids: dict[str, bytes] = {}
-        self.counts: dict[str, int] = {}
+        size = self.dtype.itemsize
+        self.ids = _Memory(self.chunk)
+        self.counts = _Memory(lambda chunk: len(self.chunk(chunk)) // size)
         self._parts: dict[str, bytes] = {}
 
     def _prove(self) -> dict[str, bytes]:
@@ -83,75 +88,69 @@ class WholeTokens:
     def _library(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of one chunk: proven pre-tokens directly, merges for the rest."""
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one pre-token: proven as one token, remembered, or merged."""
+        got = self.whole.get(piece) or self._parts.get(piece)
+        if got is None:
+            spelled = piece if piece.isascii() and piece.isprintable() else "".join(map(self._letters.__getitem__, piece.encode()))
+            got = array(self._code, [t.id for t in self._merge(spelled)]).tobytes()
+            if len(piece) <= MAX_CACHED:
+                self._parts[piece] = got
+        return got
+
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of one chunk without white space."""
         if chunk.isascii():
             folded = chunk.lower()
-        elif max(chunk) < "ɐ" and "İ" not in chunk:
+            if folded.isalpha():
+                return self._piece(folded)
+            if folded[-1] in ".,":
+                body = folded[:-1]
+                if body.isalpha():
+                    return self._piece(body) + self.whole[folded[-1]]
+            if "<" in chunk and any(s in chunk for s in self.special):
+                return self._library(chunk)
+        elif max(chunk) < "ɐ" and "İ" not in chunk and not any(s in chunk for s in self.special):
             folded = unicodedata.normalize("NFC", chunk).lower()
         else:
             return self._library(chunk)
-        if folded in self.whole:
-            return self.whole[folded]
-        if any(s in chunk for s in self.special):
-            return self._library(chunk)
-        out, parts = [], self._parts
-        for piece in LATIN_PRETOKEN.findall(folded):
-            got = self.whole.get(piece) or parts.get(piece)
-            if got is None:
-                spelled = "".join(map(self._letters.__getitem__, piece.encode()))
-                got = np.array([t.id for t in self.lib.model.tokenize(spelled)], self.dtype).tobytes()
-                if len(piece) <= MAX_CACHED:
-                    parts[piece] = got
-            out.append(got)
-        return b"".join(out)
-
-    def _ready(self, chunks: list[str], known: dict, value) -> dict:
-        """``known`` with every chunk of the list in it; long ones only in a copy."""
-        extra = {}
-        for c in set(chunks).difference(known):
-            if len(c) > MAX_CACHED:
-                extra[c] = value(self._chunk(c))
-            else:
-                known[c] = value(self._chunk(c))
-        return known | extra if extra and len(extra) * 8 > len(chunks) else _Layered(known, extra) if extra else known
-
-    def _trim(self) -> None:
+        return b"".join(map(self._piece, LATIN_PRETOKEN.findall(folded)))
+
+    def _whole_text(self, text: str) -> bool:
+        """Whether only the library can cut the text; also keeps the memories small."""
         for memory in (self.ids, self.counts, self._parts):
             if len(memory) > MAX_CHUNKS:
                 memory.clear()
+        return any(c in text for c in self.odd_spaces)
 
     def encode(self, text: str | None) -> bytes:
         """All ids of a text as packed little-endian integers of ``dtype``."""
         if not text:
             return b""
-        if any(c in text for c in self.odd_spaces):
+        if self._whole_text(text):
             return self._library(text)
-        self._trim()
-        chunks = text.split()
-        return b"".join(map(self._ready(chunks, self.ids, bytes).__getitem__, chunks))
+        return b"".join(map(self.ids.__getitem__, text.split()))
 
     def count(self, text: str | None) -> int:
         """Number of tokens of a text."""
         if not text:
             return 0
-        size = self.dtype.itemsize
-        if any(c in text for c in self.odd_spaces):
-            return len(self._library(text)) // size
-        self._trim()
-        chunks = text.split()
-        return sum(map(self._ready(chunks, self.counts, lambda b: len(b) // size).__getitem__, chunks))
+        if self._whole_text(text):
+            return len(self._library(text)) // self.dtype.itemsize
+        return sum(map(self.counts.__getitem__, text.split()))
 
 
-class _Layered:
-    """Two dictionaries read as one."""
+class _Memory(dict):
+    """What ``make`` gives for a chunk, remembered unless the chunk is long."""
 
-    def __init__(self, first: dict, second: dict):
-        self.first, self.second = first, second
+    def __init__(self, make: Callable[[str], object]):
+        self.make = make
 
-    def __getitem__(self, key):
-        got = self.first.get(key)
-        return self.second[key] if got is None else got
+    def __missing__(self, chunk: str):
+        got = self.make(chunk)
+        if len(chunk) <= MAX_CACHED:
+            self[chunk] = got
+        return got
 
 
 @lru_cache(maxsize=2)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from logscope.llm.common import read
+from logscope.llm.op1_toxicity import fit_chain, label_categories, score
 from logscope.llm.op2_decontamination import contaminated
 from logscope.llm.op4_mixing import mix
 from logscope.llm.op10_top_k import top_k
@@ -21,6 +22,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return score(docs, fit_chain(docs, read(spark, sf_dir, "labels"), label_categories()))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -48,6 +54,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_decontamination": op2_decontamination,
         "op4_mixing": op4_mixing,
         "op6_rans": op6_rans,
