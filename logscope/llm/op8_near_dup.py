@@ -9,7 +9,7 @@ reaches the threshold falls below ``miss``.  What survives is confirmed on the f
 Pairs are never listed within a group of copies.  First the nodes of a band bucket are
 compared with its most connected node; confirmed links give components.  Then only
 pairs of one bucket whose nodes lie in different components are compared, all of them,
-so no candidate is left out; full sets are read first for one pair of every two
+on longer signatures too, so no candidate is left out; full sets are read first for one pair of every two
 components and then for the pairs that are still apart.
 
 Nulls: a null or empty text, or one without words, has no shingles and is linked with
@@ -35,6 +35,8 @@ from logscope.llm.common import table
 from logscope.llm.components import components
 
 BANDS, ROWS = 32, 4
+#: Values of the longer signature with which the pairs left apart are compared again.
+DEEP = 1024
 BATCHES, BATCH = 4, 32  # sketch words of 64 bits: 32 signature values of two bits each
 #: Most keys that are broadcast: 2 million of 16 bytes are 32 MB.
 BROADCAST_KEYS = 2_000_000
@@ -83,20 +85,19 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(_stir(out))
 
 
-@lru_cache(maxsize=1)
-def _seeds() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.Generator(np.random.PCG64(20240607))
-    size = BANDS * ROWS
+@lru_cache(maxsize=2)
+def _seeds(size: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.Generator(np.random.PCG64(20240607 + size))
     return rng.integers(0, 1 << 32, size, np.uint32)[:, None], (rng.integers(0, 1 << 31, size, np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 
 
-def signature(s: np.ndarray) -> np.ndarray:
+def signature(s: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
     """MinHash values of a set: the least of each seeded permutation of 32 bits."""
-    flip, odd = _seeds()
-    low = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    x = (s >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(x), 2048):
-        low = np.minimum(low, ((x[None, at : at + 2048] ^ flip) * odd).min(axis=1))
+    flip, odd = _seeds(size)
+    low = np.full(size, 0xFFFFFFFF, np.uint32)
+    x, step = (s >> np.uint64(32)).astype(np.uint32), max(1, (1 << 17) // size)
+    for at in range(0, len(x), step):
+        low = np.minimum(low, ((x[None, at : at + step] ^ flip) * odd).min(axis=1))
     return low
 
 
@@ -114,23 +115,23 @@ def sketch(sig: np.ndarray) -> np.ndarray:
     not decide the first comparison.
     """
     mixed = _stir(sig.astype(np.uint64)) & np.uint64(3)
-    dealt = mixed.reshape(BATCH, BATCHES).T
+    dealt = mixed.reshape(BATCH, -1).T
     return (dealt << (np.arange(BATCH, dtype=np.uint64) * np.uint64(2))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
 @lru_cache(maxsize=8)
-def least_matches(threshold: float, miss: float) -> tuple[int, ...]:
-    """Fewest matches after each batch with which a pair stays.
+def least_matches(threshold: float, miss: float, sizes: tuple[int, ...] = tuple(BATCH * (k + 1) for k in range(BATCHES))) -> tuple[int, ...]:
+    """Fewest matches after each batch (``sizes``: values compared so far) with which a
+    pair stays.
 
     Two bits agree with probability (1 + 3 s) / 4 at similarity s.  With a uniform
     prior on s, the posterior after m matches of n is integrated on a grid; a pair goes
     when P(s >= threshold) < miss.
     """
-    grid = (np.arange(2000) + 0.5) / 2000
+    grid = (np.arange(4000) + 0.5) / 4000
     p = (1 + 3 * grid) / 4
     out = []
-    for b in range(1, BATCHES + 1):
-        n = b * BATCH
+    for n in sizes:
         for m in range(n + 1):
             log = m * np.log(p) + (n - m) * np.log1p(-p)
             w = np.exp(log - log.max())
@@ -152,6 +153,18 @@ def _stays(threshold: float, miss: float, a: str, b: str) -> Column:
     return keep
 
 
+def _stays_deep(threshold: float, miss: float, a: str, b: str) -> Column:
+    """The same on the longer signatures, in the column ``deep`` of both sides."""
+    (least,) = least_matches(threshold, miss, (DEEP,))
+
+    def odd(x: Column, y: Column) -> Column:
+        x = x.bitwiseXOR(y)
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+    differ = F.aggregate(F.zip_with(F.col(f"{a}.deep"), F.col(f"{b}.deep"), odd), F.lit(0), lambda n, x: n + x)
+    return F.lit(DEEP) - differ >= F.lit(least)
+
+
 NODE = T.StructType([T.StructField("id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), *(T.StructField(f"s{i}", T.LongType()) for i in range(BATCHES))])
 
 
@@ -178,19 +191,34 @@ def described(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFr
     return rows.mapInArrow(describe, NODE)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, threshold: float, width: int, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold, written.
+def _texts(asked: DataFrame, docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
+    """node, text of the nodes asked for, found by hash in one scan of the documents.
 
-    The texts of the nodes in question are found by hash in one scan of the documents,
-    and each pair is brought together with both texts.  The keys asked for are broadcast
-    only up to ``BROADCAST_KEYS`` rows of 16 bytes; beyond that they are joined by shuffle.
+    The keys are broadcast only up to ``BROADCAST_KEYS`` rows of 16 bytes; beyond that they
+    are joined by shuffle.
     """
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     keys = table(nodes.select("node", "text_key").join(asked, "node"), "asked")
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
     texts = docs.select(F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    found = table(texts.join(keys, "text_key").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    return texts.join(keys, "text_key").groupBy("node").agg(F.first("text").alias("text"))
+
+
+def _deep(asked: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, text_col: str) -> DataFrame:
+    """node, deep: sketches of longer signatures."""
+
+    def deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            longer = [sketch(signature(shingles(t.as_py(), width), DEEP)) for t in b.column(1)]
+            yield pa.record_batch([b.column(0), pa.array(longer, pa.list_(pa.int64()))], names=["node", "deep"])
+
+    return _texts(asked, docs, nodes, text_col).select("node", "text").mapInArrow(deep, "node long, deep array<long>")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, threshold: float, width: int, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold, written."""
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    found = table(_texts(asked, docs, nodes, text_col), "texts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share = round(threshold * 100)
@@ -267,9 +295,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5, mi
     # what stars left apart: all pairs of a bucket across components
     placed = shared.select("bucket", "node").join(groups.label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    apart = table(placed.join(mixed, "bucket").join(sketches, "node"), "apart")
-    cross = apart.alias("x").join(apart.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & _stays(threshold, miss, "x", "y"))
-    groups.ask_across(table(cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "cross"))
+    apart = table(placed.join(mixed, "bucket"), "apart")
+    deep = _deep(apart.select("node").distinct(), docs, nodes, width, text_col)
+    apart = table(apart.join(sketches.join(deep, "node").join(nodes.select("node", "bands"), "node"), "node"), "apart")
+    first_shared = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.bucket")  # a pair meets once
+    cross = apart.alias("x").join(apart.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & _stays(threshold, miss, "x", "y") & _stays_deep(threshold, miss, "x", "y") & first_shared)
+    groups.ask_across(table(cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), "cross"))
     label = groups.label
 
     group = nodes.select("node", "least_id").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
