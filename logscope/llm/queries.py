@@ -10,6 +10,7 @@ from logscope.llm.common import read
 from logscope.llm.op1_toxicity import fit_chain, label_categories, score
 from logscope.llm.op2_decontamination import contaminated
 from logscope.llm.op4_mixing import mix
+from logscope.llm.op5_pii import find
 from logscope.llm.op10_top_k import top_k
 from logscope.llm.op6_rans import read_blocks, write_blocks
 from logscope.llm.op8_near_dup import near_duplicates
@@ -35,6 +36,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(read(spark, sf_dir, "documents"))
+
+
 def op6_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks, freq = write_blocks(read(spark, sf_dir, "documents"), tokenizer_path())
     return read_blocks(blocks, freq)
@@ -57,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_decontamination": op2_decontamination,
         "op4_mixing": op4_mixing,
+        "op5_pii": op5_pii,
         "op6_rans": op6_rans,
         "op8_near_dup": op8_near_dup,
         "op9_token_counts": op9_token_counts,
