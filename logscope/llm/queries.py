@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logscope.llm.common import read
 from logscope.llm.op1_toxicity import fit_chain, label_categories, score
 from logscope.llm.op2_decontamination import contaminated
+from logscope.llm.op3_language import fit_letters, identify
 from logscope.llm.op4_mixing import mix
 from logscope.llm.op5_pii import find
 from logscope.llm.op10_top_k import top_k
 from logscope.llm.op6_rans import read_blocks, write_blocks
+from logscope.llm.op7_wrappers import extract
 from logscope.llm.op8_near_dup import near_duplicates
 from logscope.llm.op9_token_counts import token_counts
 
@@ -32,6 +35,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, pages = read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages")
+    found = identify(docs, pages, fit_letters(docs))
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("id"))
+    return found.select(of("document").alias("doc_id"), of("page").alias("page_id"), "declared", "text_lang", "lang", "p")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
@@ -45,6 +55,10 @@ def op6_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_blocks(blocks, freq)
 
 
+def op7_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -61,9 +75,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_decontamination": op2_decontamination,
+        "op3_language": op3_language,
         "op4_mixing": op4_mixing,
         "op5_pii": op5_pii,
         "op6_rans": op6_rans,
+        "op7_wrappers": op7_wrappers,
         "op8_near_dup": op8_near_dup,
         "op9_token_counts": op9_token_counts,
         "op10_top_k": op10_top_k,
