@@ -36,7 +36,7 @@ from logscope.llm.components import components
 
 BANDS, ROWS = 32, 4
 #: Values of the longer signature with which the pairs left apart are compared again.
-DEEP = 1024
+DEEP = 2048
 BATCHES, BATCH = 4, 32  # sketch words of 64 bits: 32 signature values of two bits each
 #: Most keys that are broadcast: 2 million of 16 bytes are 32 MB.
 BROADCAST_KEYS = 2_000_000
@@ -249,19 +249,23 @@ class _Groups:
         la, lb = F.coalesce("la", "a"), F.coalesce("lb", "b")
         return named.select("a", "b", F.least(la, lb).alias("la"), F.greatest(la, lb).alias("lb")).where("la != lb")
 
-    def ask(self, pairs: DataFrame) -> None:
+    def ask(self, pairs: DataFrame) -> bool:
+        """Confirm the pairs; whether that gave new links."""
         pairs = table(pairs.select("a", "b"), "pairs")
-        if pairs.isEmpty():
-            return
-        more = self.confirm(pairs)
-        if not more.isEmpty():
-            self.links = self.links.unionByName(more)
-            self.label = components(self.links)
+        more = None if pairs.isEmpty() else self.confirm(pairs)
+        if more is None or more.isEmpty():
+            return False
+        self.links = self.links.unionByName(more)
+        self.label = components(self.links)
+        return True
 
     def ask_across(self, pairs: DataFrame) -> None:
         """First one pair of every two components, then all that are still apart."""
-        self.ask(self.across(pairs).groupBy("la", "lb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"))
-        self.ask(self.across(pairs))
+        apart = table(self.across(pairs), "across")
+        first = apart.groupBy("la", "lb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+        if self.ask(first):
+            apart = self.across(apart.select("a", "b"))
+        self.ask(apart.select("a", "b").subtract(first))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
