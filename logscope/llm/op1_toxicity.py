@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 #: Hashed terms, folds, letters of a word beginning, and most terms a model uses.
 BUCKETS, FOLDS, PREFIX, TERMS = 1 << 20, 3, 5, 3000
 #: Most labelled rows that the models are fitted on.
-SAMPLE = 20_000
+SAMPLE = 8_000
 #: Penalties of the fit, and its steps.
 L1, L2, STEPS = 2e-4, 1e-5, 250
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -69,7 +69,7 @@ class Rows:
 
     def __init__(self, sets: list[np.ndarray], extra: np.ndarray):
         self.at = np.concatenate([np.concatenate(sets), np.zeros(0, np.int32)]) if sets else np.zeros(0, np.int32)
-        self.row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        self.row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
         self.n, self.extra = len(sets), extra
 
     def times(self, slot: np.ndarray, w: np.ndarray, we: np.ndarray) -> np.ndarray:
@@ -187,9 +187,11 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     got = rows.orderBy("draw", *names).limit(sample).toArrow()
     fold = got.column("draw").to_numpy() % FOLDS
     sets = [np.array(x.values.to_numpy(zero_copy_only=False), np.int32) for x in got.column("terms")]
+    answers = {name: got.column(name).to_numpy().astype(float) for name in names}
+    del got
     chain, extra = Chain(names), np.zeros((len(sets), 0))
     for name in names:
-        y = got.column(name).to_numpy().astype(float)
+        y = answers[name]
         held = np.zeros(len(y))
         for f in range(FOLDS):
             inside, outside = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
