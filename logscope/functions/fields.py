@@ -14,8 +14,9 @@ _NUMBER = r"BIGINT|DOUBLE|FLOAT|DECIMAL.*|TINYINT|SMALLINT|INT"
 KEYS = tuple(dict.fromkeys((*DURATION_KEYS, *TOKEN_KEYS, "route", "request_uri", "uri", "url", "method", "status", "status_code", "http_status", "response_code", "exception", "sql", "http_method", "http_code", "total_time", "class", "message_id", "key", "command", "code")))
 
 
-def prepare(entries: DataFrame, *more: str) -> DataFrame:
-    """``entries`` with one column for each key looked up, so each is looked up once.
+def prepare(entries: DataFrame, *more: str, only: tuple[str, ...] | None = None) -> DataFrame:
+    """``entries`` with one column for each key looked up, so each is looked up once (F01);
+    ``only`` names the keys where not all are needed.
 
     context[key], else extra[key]; JSON null is then null and shadows extra.
     """
@@ -23,7 +24,7 @@ def prepare(entries: DataFrame, *more: str) -> DataFrame:
         path = f'$["{key}"]'
         return F.coalesce(F.try_variant_get("context", path, "variant"), F.try_variant_get("extra", path, "variant"))
 
-    keys = dict.fromkeys((*KEYS, *more))
+    keys = dict.fromkeys((*(KEYS if only is None else only), *more))
     raw = entries.withColumns({f"v:{k}": get(k) for k in keys} | {"head": first_line(F.col("message"))})
     return raw.withColumns({f"v:{k}": F.when(~F.is_variant_null(F.col(f"`v:{k}`")), F.col(f"`v:{k}`")) for k in keys})
 

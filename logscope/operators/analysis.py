@@ -63,16 +63,21 @@ class Analysis:
     def keys(self) -> tuple[str | None, str | None]:
         """The duration key and the token key: of the first entry that has one."""
         o = self.options
-        firsts = []
-        for at, key in enumerate(fields.DURATION_KEYS):
-            ok = fields.to_millis(fields.lookup(key), key, o.duration_unit).isNotNull()
-            firsts.append(F.min(F.when(ok, F.struct("ord", F.lit(at).alias("at")))).alias(f"d{at}"))
-        for at, key in enumerate(fields.TOKEN_KEYS):
-            ok = F.coalesce(fields.as_text(fields.lookup(key)), F.lit("")) != ""
-            firsts.append(F.min(F.when(ok, F.struct("ord", F.lit(at).alias("at")))).alias(f"t{at}"))
-        row = fields.prepare(self.entries).agg(*firsts).first()
-        best = lambda p, names: min(((row[f"{p}{k}"], name) for k, name in enumerate(names) if row[f"{p}{k}"]), default=(None, None))[1]
-        return o.duration_key or best("d", fields.DURATION_KEYS), (o.correlate_key or best("t", fields.TOKEN_KEYS)) if o.correlate else None
+        ask = ([] if o.duration_key else [("d", k) for k in fields.DURATION_KEYS]) + ([] if o.correlate_key or not o.correlate else [("t", k) for k in fields.TOKEN_KEYS])
+        found: dict[str, str | None] = {"d": o.duration_key, "t": o.correlate_key if o.correlate else None}
+        if ask:
+            def there(what: str, key: str) -> Column:
+                if what == "d":
+                    return fields.to_millis(fields.lookup(key), key, o.duration_unit).isNotNull()
+                return F.coalesce(fields.as_text(fields.lookup(key)), F.lit("")) != ""
+
+            prepared = fields.prepare(self.entries, only=tuple(dict.fromkeys(k for _, k in ask)))
+            row = prepared.agg(*(F.min(F.when(there(what, key), F.col("ord"))).alias(f"k{i}") for i, (what, key) in enumerate(ask))).first()
+            for kind in {what for what, _ in ask}:
+                # of keys that begin in the same entry, the first listed
+                best = min(((row[f"k{i}"], i) for i, (what, _) in enumerate(ask) if what == kind and row[f"k{i}"] is not None), default=None)
+                found[kind] = ask[best[1]][1] if best else None
+        return found["d"], found["t"]
 
     @cached_property
     def lines(self) -> DataFrame:

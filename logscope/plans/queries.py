@@ -32,16 +32,24 @@ def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-_open: list[Analysis] = []
+_open: dict[tuple, Analysis] = {}
 
 
 def analysis(spark: SparkSession, sf: str, options: Options = OPTIONS) -> Analysis:
-    """The analysis of the virtual log; the memory of the one before is given back."""
-    while _open:
-        _open.pop().close()
-    entries = parse(virtual_log(_read(spark, sf, "events"))).where("level is not null")
-    _open.append(Analysis(entries, options))
-    return _open[-1]
+    """The analysis of the virtual log, shared by all tables that are asked of it.
+
+    One is open at a time: another log or other options give its memory back.
+    """
+    app = spark.sparkContext.applicationId
+    key = (app, sf, options)
+    if key not in _open:
+        for (old_app, *_), old in _open.items():
+            if old_app == app:
+                old.close()
+        _open.clear()
+        entries = parse(virtual_log(_read(spark, sf, "events"))).where("level is not null")
+        _open[key] = Analysis(entries, options)
+    return _open[key]
 
 
 def _ms(c: str) -> F.Column:
