@@ -32,6 +32,9 @@ from logscope.llm.common import table, word_count
 
 #: Steps of the rank: first over all documents, then inside the step at the edge.
 STEPS = 1024
+#: Most rows of a table of one row a source that are broadcast; beyond that it is joined by
+#: shuffle, where Spark splits the hot sources.
+BROADCAST_SOURCES = 100_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, max_copies: int = 2) -> DataFrame:
@@ -70,10 +73,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1
     sums = sums.select("source", "n", mean.alias("mean_size")).withColumnRenamed("source", "s2")
     per = shares.join(sums, F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     # preference 1.1 for the shortest documents down to 0.9 for the longest
-    wide = rows.join(per.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
+    wide = rows.join(_per_source(per.withColumnRenamed("source", "s2")), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     wide = wide.withColumn("p", F.lit(1.1) - F.lit(0.2) * F.col("size") / (F.col("size") + F.col("mean_size")))
     norm = wide.groupBy("source").agg((F.sum(F.round(F.col("p") * F.col("size") * 1000).cast("long")) / 1000.0 / F.greatest(F.sum("size"), F.lit(1))).alias("p_mean")).withColumnRenamed("source", "s2")
-    wide = wide.join(norm, F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
+    wide = wide.join(_per_source(norm), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     expected = F.least(F.lit(float(max_copies)), ratio * F.col("p") / F.col("p_mean"))
     wide = wide.withColumn("expected", F.when(F.col("size") > 0, expected).otherwise(F.lit(0.0)))
@@ -87,12 +90,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1
 
     # words still to draw, and the step where the running sum passes them
     need = wide.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("need"))
-    first = _edge(wide.where("rank is not null").groupBy("source", "step").agg(F.sum("size").alias("w")), need, "step")
-    inner = wide.where("rank is not null").join(first.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")) & (F.col("step") == F.col("edge"))).drop("s2")
+    first = table(_edge(wide.where("rank is not null").groupBy("source", "step").agg(F.sum("size").alias("w")), need, "step"), "edges")
+    inner = wide.where("rank is not null").join(_per_source(first.withColumnRenamed("source", "s2")), F.col("source").eqNullSafe(F.col("s2")) & (F.col("step") == F.col("edge"))).drop("s2")
     second = _edge(inner.groupBy("source", "fine").agg(F.sum("size").alias("w")), first.select("source", F.col("left").alias("need")), "fine")
     second = second.select(F.col("source").alias("s3"), F.col("edge").alias("edge2"), F.col("left").alias("left2"))
     first = first.select(F.col("source").alias("s2"), "edge")
-    placed = wide.join(first, F.col("source").eqNullSafe(F.col("s2")), "left").join(second, F.col("source").eqNullSafe(F.col("s3")), "left")
+    placed = wide.join(_per_source(first), F.col("source").eqNullSafe(F.col("s2")), "left").join(_per_source(second), F.col("source").eqNullSafe(F.col("s3")), "left")
     at_edge = (F.col("step") == F.col("edge")) & (F.col("fine") == F.col("edge2"))
     sure = F.col("rank").isNotNull() & ((F.col("step") < F.coalesce("edge", F.lit(STEPS))) | ((F.col("step") == F.col("edge")) & (F.col("fine") < F.coalesce("edge2", F.lit(STEPS)))))
     placed = placed.withColumn("at_edge", F.coalesce(at_edge, F.lit(False)))
@@ -104,6 +107,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1
     return edge.unionByName(rest).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def _per_source(df: DataFrame) -> DataFrame:
+    """A table of one row a source, broadcast up to ``BROADCAST_SOURCES`` rows, so that the
+    documents of a hot source stay where they are."""
+    df = table(df, "sources")
+    return F.broadcast(df) if df.count() <= BROADCAST_SOURCES else df
+
+
 def _edge(sums: DataFrame, need: DataFrame, step: str) -> DataFrame:
     """source, edge, left: the step of each source in which the running sum passes
     ``need``, and the words left to draw there; no row where all steps fit."""
