@@ -24,7 +24,11 @@ def middle(at: Column) -> Column:
 
 def quantiles(timed: DataFrame, keys: list[str], ms: str = "ms", of: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """keys, p50, p95, p99: two hash aggregates, and running counts over at most 672 rows a key."""
-    counts = timed.groupBy(*keys, bucket(F.col(ms)).alias("_b")).agg(F.count("*").alias("_n"))
+    return of_counts(timed.groupBy(*keys, bucket(F.col(ms)).alias("_b")).agg(F.count("*").alias("_n")), keys, of)
+
+
+def of_counts(counts: DataFrame, keys: list[str], of: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """The same from counts ``_n`` per keys and bucket ``_b``."""
     w = Window.partitionBy(*keys)
     run = counts.withColumn("_cum", F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(w))
     firsts = [F.min(F.when(F.col("_cum") > F.round((F.col("_all") - 1) * p), F.col("_b"))).alias(f"_q{k}") for k, p in enumerate(of)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logscope.functions.parse import parse
@@ -13,6 +13,14 @@ MESSAGE = 4000
 BLOCK = 100_000
 
 
+def joined(message: Column, more: Column) -> Column:
+    """The message with the lines after it (structs with _bytes, the bytes before, and _raw)."""
+    room = F.lit(MESSAGE) - F.octet_length(message)
+    kept = F.transform(F.filter(more, lambda x: x["_bytes"] < room), lambda x: x["_raw"])
+    text = F.when(F.size(F.coalesce(kept, F.array().cast("array<string>"))) > 0, F.concat_ws("\n", F.concat(F.array(message), kept))).otherwise(message)
+    return F.when(F.length(text) > MESSAGE, F.concat(F.left(text, F.lit(MESSAGE)), F.lit("…"))).otherwise(text)
+
+
 def assemble(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries from (source, ord, value), and skipped lines (source, ord).
 
@@ -35,9 +43,5 @@ def assemble(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     more = more.where(F.col("_head").isNotNull()).withColumn("_bytes", F.coalesce(F.sum(size).over(prior), F.lit(0)))
     gathered = more.where(F.col("_bytes") < MESSAGE).groupBy("source", F.col("_head").alias("ord")).agg(F.array_sort(F.collect_list(F.struct("ord", "_bytes", "_raw"))).alias("_more"))
     heads = cut.where(head).drop("_block", "_head", "_before", "_raw")
-    joined = heads.join(gathered, ["source", "ord"], "left")
-    room = F.lit(MESSAGE) - F.octet_length("message")
-    kept = F.transform(F.filter("_more", lambda x: x["_bytes"] < room), lambda x: x["_raw"])
-    text = F.when(F.size(F.coalesce(kept, F.array().cast("array<string>"))) > 0, F.concat_ws("\n", F.concat(F.array("message"), kept))).otherwise(F.col("message"))
-    text = F.when(F.length(text) > MESSAGE, F.concat(F.left(text, F.lit(MESSAGE)), F.lit("…"))).otherwise(text)
-    return joined.withColumn("message", text).drop("_more"), skipped
+    with_more = heads.join(gathered, ["source", "ord"], "left")
+    return with_more.withColumn("message", joined(F.col("message"), F.col("_more"))).drop("_more"), skipped
