@@ -19,6 +19,9 @@ from logscope.llm.op6_rans import read_blocks, write_blocks
 from logscope.llm.op8_near_dup import near_duplicates
 from logscope.llm.queries import tokenizer_path
 
+#: Name of the column that tells rows apart inside a stage.
+ROW = "__row"
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the classifier chain, fitted on the labelled documents, calls toxic."""
@@ -26,11 +29,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return reject(docs, chain)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key for every row, written, so that all later reads see the same keys;
+    ids may be null or shared."""
+    return table(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group; of rows that share its id, one."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """Keep one row of each group of near copies: that of the least id, null last."""
+    docs = keyed(docs)
+    groups = near_duplicates(docs, id_col=ROW).select(ROW, "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(ROW))
+    kept = groups.join(docs.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(order).alias("first"))
+    return docs.join(kept.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").drop(ROW)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +50,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat each document as often as the mix takes it; ids repeat with it."""
-    taken = mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
-    return rows.withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__copies")
+    """Repeat each row as often as the mix takes it; ids repeat with it."""
+    docs = keyed(docs)
+    taken = mix(docs, row_col=ROW).where("copies > 0").select(ROW, F.col("copies").cast("int").alias("__copies"))
+    return docs.join(taken, ROW).drop(ROW).withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

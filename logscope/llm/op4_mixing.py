@@ -63,10 +63,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: floa
     return w.select("source", "source_size", F.coalesce(share, F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, max_copies: int = 2, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: DataFrame | None = None) -> DataFrame:
-    """id, source, size, source_size, target, copies, taken for every row of ``docs``."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, max_copies: int = 2, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: DataFrame | None = None, row_col: str | None = None) -> DataFrame:
+    """id, source, size, source_size, target, copies, taken for every row of ``docs``; with
+    ``row_col``, a key that tells rows apart where ids don't, that column too."""
+    row = [row_col] if row_col else []
     uniform = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    rows = table(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), uniform.alias("u")), "sizes")
+    rows = table(docs.select(*row, F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), uniform.alias("u")), "sizes")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     mean = F.greatest(F.col("source_size") / F.col("n"), F.lit(1.0))
     shares = targets(sums.select("source", "source_size"), weights, budget, max_copies)
@@ -99,12 +101,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1
     at_edge = (F.col("step") == F.col("edge")) & (F.col("fine") == F.col("edge2"))
     sure = F.col("rank").isNotNull() & ((F.col("step") < F.coalesce("edge", F.lit(STEPS))) | ((F.col("step") == F.col("edge")) & (F.col("fine") < F.coalesce("edge2", F.lit(STEPS)))))
     placed = placed.withColumn("at_edge", F.coalesce(at_edge, F.lit(False)))
-    here = Window.partitionBy("source").orderBy("rank", "size", "id").rowsBetween(Window.unboundedPreceding, 0)
+    here = Window.partitionBy("source").orderBy("rank", "size", "id", *row).rowsBetween(Window.unboundedPreceding, 0)
     edge = placed.where("at_edge").withColumn("running", F.sum("size").over(here))
     edge = edge.withColumn("extra", (F.col("running") - F.col("size") / 2.0 <= F.col("left2")).cast("long")).drop("running")
     rest = placed.where(~F.col("at_edge")).withColumn("extra", F.coalesce(sure, F.lit(False)).cast("long"))
     copies = F.col("whole") + F.col("extra")
-    return edge.unionByName(rest).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return edge.unionByName(rest).select(*row, F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def _per_source(df: DataFrame) -> DataFrame:
