@@ -11,13 +11,14 @@ query's k-th best so far.
 
 Pivots and the annuli's edges are fitted on at most ``SAMPLE`` vectors, chosen by hash; all
 vectors are indexed, and results don't depend on the sample.  Equal vectors are one entry
-with its k+1 smallest ids, gathered by salted steps, so a vector that a third of
-all rows repeat costs no more than another.  Queries go in blocks of ``QUERY_BLOCK``, each
+with its k+1 smallest ids and how often each occurs, gathered by salted steps, so a vector
+that a third of all rows repeat costs no more than another.  Queries go in blocks of ``QUERY_BLOCK``, each
 against slices of ``SLICE`` annuli of at most ``CELL`` vectors.
 
 Vectors that are null or hold null or non-finite components take no part.  Shorter
 vectors are filled up with zeros.  A row with a null id is a candidate after all others of
-its score and no query; rows with the query's id are its own.  An empty table gives an empty
+its score and no query; rows with the query's id are its own, however many there are and on whatever vectors.
+Repeated rows of another id take a place each.  An empty table gives an empty
 result.
 """
 
@@ -35,6 +36,8 @@ from logscope.llm.common import table
 
 SAMPLE, PIVOTS, CELL, SLICE, QUERY_BLOCK, SALTS = 4096, 64, 4096, 256, 256, 32
 NO_ID = (1 << 63) - 1
+#: In place of the second id of a vector that has one.
+NO_NEXT = -(1 << 63)
 #: Kept below the largest distance that rounding could move.
 SLACK = 1e-6
 
@@ -59,19 +62,21 @@ def packed(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, np
 
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
-    """key, v, ids (the k+1 smallest): one row a vector."""
-    keyed = rows.withColumn("key", F.md5("v")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    few = Window.partitionBy("key", "salt").orderBy("id")
-    some = keyed.withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1)
-    part = some.groupBy("key", "salt").agg(F.first("v").alias("v"), F.collect_list("id").alias("ids"))
-    return part.groupBy("key").agg(F.first("v").alias("v"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
+    """key, v, ids (the k+1 smallest, each followed by its number of rows): one row a vector."""
+    keyed = rows.withColumn("key", F.md5("v"))
+    times = keyed.groupBy("key", "id").agg(F.count("*").alias("n")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    some = times.withColumn("r", F.row_number().over(Window.partitionBy("key", "salt").orderBy("id"))).where(F.col("r") <= k + 1)
+    part = some.groupBy("key", "salt").agg(F.collect_list(F.struct("id", "n")).alias("few"))
+    few = part.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("few"))), 1, k + 1).alias("few"))
+    ids = F.flatten(F.transform("few", lambda x: F.array(x["id"], x["n"]))).alias("ids")
+    return keyed.groupBy("key").agg(F.first("v").alias("v")).join(few, "key").select("key", "v", ids)
 
 
 class Pivots:
     """Pivots in the augmented space, edges of their annuli, and a sample of vectors."""
 
-    def __init__(self, sample: np.ndarray, norm2: float, rows: int):
-        self.norm2, self.sample = norm2, sample
+    def __init__(self, sample: np.ndarray, apart: np.ndarray, norm2: float, rows: int):
+        self.norm2, self.apart = norm2, sample[apart]
         x = self.lift(sample)
         rng = np.random.Generator(np.random.PCG64(7))
         c = x[rng.choice(len(x), min(PIVOTS, len(x)), replace=False)]
@@ -129,7 +134,9 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str =
         return spark.createDataFrame([], out)
     index = table(distinct_vectors(rows, k), "distinct")
     count = index.count()
-    sample = np.stack([np.frombuffer(r.v, dtype) for r in index.select("key", "v").orderBy("key").limit(SAMPLE).collect()])
+    least = index.select("key", "v", F.col("ids")[0].alias("lead")).orderBy("key").limit(SAMPLE).collect()
+    sample, lead = np.stack([np.frombuffer(r.v, dtype) for r in least]), np.array([r.lead for r in least], np.int64)
+    apart = np.sort(np.unique(np.where(_asks(lead, query_every), lead, -1 - np.arange(len(lead)) * query_every), return_index=True)[1])
 
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,7 +144,7 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str =
             yield pa.record_batch([pa.array((x * x).sum(1))], names=["n"])
 
     norm2 = index.select("v").mapInArrow(norms, "n double").agg(F.max("n")).first()[0]
-    shared = spark.sparkContext.broadcast(Pivots(sample, norm2, count))
+    shared = spark.sparkContext.broadcast(Pivots(sample, apart, norm2, count))
 
     # the index: one row an annulus, cut by hash where an annulus holds too many vectors
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +185,8 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str =
             for at in range(0, b.num_rows, QUERY_BLOCK):
                 part = b.slice(at, QUERY_BLOCK)
                 q = _matrix(b"".join(part.column(1).to_pylist()), dtype, size)
-                best = -np.sort(-_dot(q, p.sample), axis=1)
-                first = best[:, k + 1] if best.shape[1] > k + 1 else np.full(len(q), np.iinfo(np.int64).min)
+                best = -np.sort(-_dot(q, p.apart), axis=1)
+                first = best[:, k] if best.shape[1] > k else np.full(len(q), np.iinfo(np.int64).min)
                 d = p.of_queries(q)
                 far = np.where(first > np.iinfo(np.int64).min, _radius(q, first, p.norm2), np.inf)
                 m = d.shape[1]
@@ -202,19 +209,30 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str =
                 if state is None or state.at != (row["block"], row["slice"]):
                     if state:
                         yield from state.rows()
-                    state = _Search((row["block"], row["slice"]), _matrix(row["q"], dtype, size), row["keys"], row["first"], p, k)
+                    state = _Search((row["block"], row["slice"]), _matrix(row["q"], dtype, size), row["keys"], row["first"], p, k, query_every)
                 state.visit(row["pivot"], row["lo"], row["hi"], _matrix(row["x"], dtype, size), row["ids"])
         if state:
             yield from state.rows()
 
     found = work.select("block", "slice", "pivot", "lo", "hi", "x", "ids", "q", "keys", "first").mapInArrow(search, "key string, score long, ids array<long>")
-    best = Window.partitionBy("key").orderBy(F.desc("score"), "id")
-    found = found.select("key", "score", F.explode("ids").alias("id")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
+    # no query needs an id more than k times, nor more than 2k entries, of which k may be its own
+    one, best = (Window.partitionBy(*by).orderBy(F.desc("score"), "id") for by in (("key", "id"), ("key",)))
+    pair = F.transform(F.sequence(F.lit(0), F.size("ids") - 2, F.lit(2)), lambda i: F.struct(F.get("ids", i).alias("id"), F.get("ids", i + 1).alias("n")))
+    found = found.select("key", "score", F.explode(pair).alias("x")).select("key", "score", "x.id", "x.n")
+    found = found.withColumn("r", F.row_number().over(one)).where(F.col("r") <= k).withColumn("r", F.row_number().over(best)).where(F.col("r") <= 2 * k).drop("r")
     per = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = asked.distinct().join(found, "key").where("id != query_id").withColumn("rank", F.row_number().over(per)).where(F.col("rank") <= k)
+    before = F.coalesce(F.sum("n").over(per.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = asked.distinct().join(found, "key").where("id != query_id").withColumn("r", F.row_number().over(per)).where(F.col("r") <= k)
+    ranked = ranked.withColumn("before", before).where(F.col("before") < k)
+    ranked = ranked.withColumn("rank", F.explode(F.sequence(F.col("before") + 1, F.least(F.col("before") + F.col("n"), F.lit(k))))).withColumn("rank", F.col("rank").cast("int"))
     return ranked.select("query_id", "rank", F.nullif("id", F.lit(NO_ID)).alias("vec_id"), "score")
 
 
+def _asks(ids: np.ndarray, query_every: int) -> np.ndarray:
+    """Which ids are those of queries."""
+    return (ids % query_every == 0) & (ids != NO_ID)
+
+
 def _radius(q: np.ndarray, score: np.ndarray, norm2: float) -> np.ndarray:
     """Distance at which a query has the score."""
     q = q.astype(np.float64)
@@ -222,13 +240,19 @@ def _radius(q: np.ndarray, score: np.ndarray, norm2: float) -> np.ndarray:
 
 
 class _Search:
-    """The best of a block of queries over one slice of the index."""
+    """The best of a block of queries over one slice of the index.
 
-    def __init__(self, at: tuple, q: np.ndarray, keys: list[str], first: list[int], pivots: Pivots, k: int):
-        self.at, self.q, self.keys, self.k, self.norm2 = at, q, keys, k, pivots.norm2
+    Which ids ask for a vector isn't known here, so any id may be a query's own.  Vectors
+    whose smallest id is a query's are one to the count when they share it: a query can lose
+    no more than one of k+1 vectors so counted.  Of those that share it, k that hold other
+    ids too and k that don't are enough.
+    """
+
+    def __init__(self, at: tuple, q: np.ndarray, keys: list[str], first: list[int], pivots: Pivots, k: int, query_every: int):
+        self.at, self.q, self.keys, self.k, self.norm2, self.every = at, q, keys, k, pivots.norm2, query_every
         self.floor = np.array(first, np.int64)
         self.d = pivots.of_queries(q)
-        self.who, self.score, self.lead = (np.zeros(0, np.int64) for _ in range(3))
+        self.who, self.score, self.lead, self.next = (np.zeros(0, np.int64) for _ in range(4))
         self.ids: list[list[int]] = []
 
     def visit(self, pivot: int, lo: float, hi: float, x: np.ndarray, ids: list[list[int]]) -> None:
@@ -246,16 +270,35 @@ class _Search:
         self.who = np.concatenate([self.who, ask[i]])
         self.score = np.concatenate([self.score, s[i, j]])
         self.lead = np.concatenate([self.lead, np.array([ids[n][0] for n in j], np.int64)])
+        self.next = np.concatenate([self.next, np.array([ids[n][2] if len(ids[n]) > 2 else NO_NEXT for n in j], np.int64)])
         self.ids += [ids[n] for n in j]
         assert len(self.ids) == old + len(i)
-        order = np.lexsort((self.lead, -self.score, self.who))
-        who = self.who[order]
-        place = np.arange(len(order)) - np.searchsorted(who, who)
-        keep = order[place <= self.k]
-        last = order[place == self.k]
+        order = np.lexsort((self.next, self.lead, -self.score, self.who))
+        who, (new, enough) = self.who[order], self._shared(order)
+        start = np.searchsorted(who, who)
+        upto = np.concatenate([[0], np.cumsum(new)])
+        place = upto[:-1] - upto[start]
+        keep = order[(place <= self.k) & ~enough]
+        last = order[(place == self.k) & new]
         self.floor[self.who[last]] = np.maximum(self.floor[self.who[last]], self.score[last])
-        self.who, self.score, self.lead = self.who[keep], self.score[keep], self.lead[keep]
+        self.who, self.score, self.lead, self.next = self.who[keep], self.score[keep], self.lead[keep], self.next[keep]
         self.ids = [self.ids[n] for n in keep]
 
+    def _shared(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """In this order: the first vector of each smallest id, and those with k like them before."""
+        new, enough = np.ones(len(order), bool), np.zeros(len(order), bool)
+        at = np.flatnonzero(_asks(self.lead[order], self.every))
+        if len(at) > 1:
+            who, lead, more = self.who[order][at], self.lead[order][at], self.next[order][at] != NO_NEXT
+            for by, limit in (((lead, who), 1), ((more, lead, who), self.k)):
+                near = np.lexsort(by)
+                same = np.ones(len(at), bool)
+                same[0] = False
+                for c in by:
+                    same[1:] &= c[near][1:] == c[near][:-1]
+                run = np.arange(len(at)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))
+                (new if limit == 1 else enough)[at[near]] = run < 1 if limit == 1 else run >= limit
+        return new, enough
+
     def rows(self) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([self.keys[w] for w in self.who], pa.string()), pa.array(self.score), pa.array(self.ids, pa.list_(pa.int64()))], names=["key", "score", "ids"])
