@@ -10,9 +10,10 @@ wrapper's slots, and the slots of the main content are read out in page order.
 
 Slots are main content when they lie in an article (or main) element, outside menus, headers of
 the site, footers, sidebars, notices, adverts, forms and reader comments, which are told by tag
-or by a word of the class or id.  Where no page of a host has an article or main
-element, slots outside such elements count whose text differs between pages and is not
-mostly links.
+or by a word of the class or id.  Each page is judged for itself: where it has no text in an
+article or main element, its texts outside such elements count that are not mostly links and
+not the template's, which is short text that ``TEMPLATE_PAGES`` distinct pages of the host or
+more have in one place, and no page has otherwise.
 
 Nulls: a null or empty html gives an empty text; a null url is a host of its own.  Repeated
 rows are extracted alike.  An empty table gives an empty result; other columns are ignored.
@@ -34,6 +35,8 @@ from logscope.llm.common import table
 #: Most characters of wrappers that are broadcast.
 BROADCAST_CHARS = 32_000_000
 SALTS = 16
+#: Distinct pages that must agree before a text is taken for the template's.
+TEMPLATE_PAGES = 5
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|math)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S | re.I)
 CLASS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # Elements of HTML by role.
@@ -47,20 +50,22 @@ SITE_HEADER = "header"
 
 
 class Node:
-    """An element of a page, or of a wrapper with a quantifier."""
+    """An element of a page, or of a wrapper with a quantifier; ``pages`` counts the pages
+    that have a text."""
 
-    __slots__ = ("kids", "label", "quant", "text")
+    __slots__ = ("kids", "label", "pages", "quant", "text")
 
     def __init__(self, label: str, quant: str = "", text: str | None = None):
-        self.label, self.quant, self.text, self.kids = label, quant, text, []
+        self.label, self.quant, self.text, self.kids, self.pages = label, quant, text, [], 1
 
     def dump(self) -> list:
-        return [self.label, self.quant, self.text, [k.dump() for k in self.kids]]
+        return [self.label, self.quant, self.text, [k.dump() for k in self.kids], *([self.pages] if self.pages > 1 else [])]
 
     @classmethod
-    def load(cls, raw: list) -> Node:
+    def load(cls, raw: list, times: int = 1) -> Node:
         node = cls(*raw[:3])
-        node.kids = [cls.load(k) for k in raw[3]]
+        node.kids = [cls.load(k, times) for k in raw[3]]
+        node.pages = times * (raw[4] if len(raw) > 4 else 1)
         return node
 
 
@@ -156,17 +161,19 @@ def folded(node: Node) -> Node:
     return node
 
 
-def merged(a: Node, b: Node) -> Node:
-    """Two nodes of one label as one: equal text stays, other text becomes a slot."""
+def merged(a: Node, b: Node, across: bool = False) -> Node:
+    """Two nodes of one label, of one page or ``across`` pages, as one: equal text stays, other
+    text becomes a slot."""
     out = Node(a.label, "*" if {"*", "?"} & {a.quant, b.quant} and {"+", "*"} & {a.quant, b.quant} else a.quant or b.quant)
     if a.label == "#":
         out.text = a.text if a.text == b.text else None
+        out.pages = a.pages + b.pages if across else max(a.pages, b.pages)
         return out
-    out.kids = aligned(a.kids, b.kids)
+    out.kids = aligned(a.kids, b.kids, across)
     return out
 
 
-def aligned(a: list[Node], b: list[Node]) -> list[Node]:
+def aligned(a: list[Node], b: list[Node], across: bool = False) -> list[Node]:
     """Align two sequences on their longest common labels; what only one has is optional."""
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
@@ -176,7 +183,7 @@ def aligned(a: list[Node], b: list[Node]) -> list[Node]:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and a[i].label == b[j].label:
-            out.append(merged(a[i], b[j]))
+            out.append(merged(a[i], b[j], across))
             i, j = i + 1, j + 1
         elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
             out.append(_maybe(a[i]))
@@ -206,41 +213,51 @@ def dropped(label: str) -> bool:
 
 
 def content_paths(wrapper: Node) -> dict[str, int]:
-    """Paths of the wrapper's text slots: 0 dropped, 1 main content, 2 main content where
-    no article is marked, which mostly linked blocks don't belong to."""
-    found: dict[str, list[tuple[bool, bool, bool]]] = {}
+    """Paths of the wrapper's texts: 0 dropped, 1 main content, 2 main content of pages that
+    have none of 1, which mostly linked blocks don't belong to."""
+    found: dict[str, int] = {}
 
     def walk(node: Node, path: list[str], inside: bool, out: bool) -> None:
         for k in node.kids:
             if k.label == "#":
-                was = found.setdefault("/".join(path), [])
-                was.append((inside, out, k.text is None))
+                slot = k.text is None or k.pages < TEMPLATE_PAGES
+                at = "/".join(path)
+                found[at] = max(found.get(at, 0), 0 if out else 1 if inside else 2 * slot)
             else:
                 tag = k.label.partition(".")[0]
                 walk(k, [*path, k.label], inside or tag in ("article", "main"), out or dropped(k.label) or (tag == SITE_HEADER and not inside))
 
     walk(wrapper, [], False, False)
-    article = any(i and not o for v in found.values() for i, o, _ in v)
-    return {p: (1 if article else 2) * any(not o and (i if article else slot) for i, o, slot in v) for p, v in found.items()}
+    return found
+
+
+def main_text(blocks: list[dict], paths: dict[str, int]) -> str:
+    """The main content of one page, in page order."""
+    kinds = [paths.get(x["path"], 0) for x in blocks]
+    if 1 in kinds:
+        return "\n".join(x["text"] for x, k in zip(blocks, kinds, strict=True) if k == 1)
+    return "\n".join(x["text"] for x, k in zip(blocks, kinds, strict=True) if k == 2 and x["linked"] * 2 <= len(x["text"]))
 
 
 def wrappers(parsed: DataFrame) -> DataFrame:
-    """host, wrapper (JSON): one row a host, from (host, skeleton)."""
+    """host, wrapper (JSON): one row a host, from (host, skeleton, page)."""
 
     def align(t: pa.Table) -> str:
         whole = None
-        for raw in sorted(t.column("skeleton").to_pylist()):
-            node = Node.load(json.loads(raw))
-            whole = node if whole is None else merged(whole, node)
+        for raw, pages in sorted(zip(t.column("skeleton").to_pylist(), t.column("pages").to_pylist(), strict=True)):
+            node = Node.load(json.loads(raw), pages)
+            whole = node if whole is None else merged(whole, node, True)
         return json.dumps(whole.dump(), ensure_ascii=False)
 
     def part(t: pa.Table) -> pa.Table:
-        return pa.table({"host": [t.column("host")[0].as_py()], "skeleton": [align(t)]})
+        return pa.table({"host": [t.column("host")[0].as_py()], "skeleton": [align(t)], "pages": pa.array([1], pa.int64())})
 
-    distinct = parsed.select("host", "skeleton").distinct()
-    salted = distinct.withColumn("salt", F.pmod(F.xxhash64("skeleton"), F.lit(SALTS)))
-    partial = salted.groupBy("host", "salt").applyInArrow(part, "host string, skeleton string")
-    return partial.groupBy("host").applyInArrow(part, "host string, skeleton string").withColumnRenamed("skeleton", "wrapper")
+    kind = "host string, skeleton string, pages long"
+    named = parsed.select("host", F.xxhash64("skeleton").alias("shape"), "page").distinct().groupBy("host", "shape").agg(F.count("*").alias("pages"))
+    distinct = parsed.select("host", "skeleton").distinct().withColumn("shape", F.xxhash64("skeleton"))
+    distinct = distinct.join(named, ["host", "shape"]).select("host", "skeleton", "pages", F.pmod(F.xxhash64("skeleton"), F.lit(SALTS)).alias("salt"))
+    partial = distinct.groupBy("host", "salt").applyInArrow(part, kind)
+    return partial.groupBy("host").applyInArrow(part, kind).select("host", F.col("skeleton").alias("wrapper"))
 
 
 def host_of(url) -> F.Column:
@@ -265,13 +282,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 skeletons, blocks = [], []
-                for page in part.column(3):
+                for page in part.column(4):
                     tree, found = parse(page.as_py())
                     for k in tree.kids:
                         _forget(k)
                     skeletons.append(json.dumps(folded(_slots(tree)).dump(), ensure_ascii=False))
                     blocks.append([{"path": p, "text": t, "linked": n} for p, t, n in found])
-                yield pa.record_batch([*part.columns[:3], pa.array(skeletons), pa.array(blocks, pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("linked", pa.int64())])))], names=["id", "url", "host", "skeleton", "blocks"])
+                yield pa.record_batch([*part.columns[:4], pa.array(skeletons), pa.array(blocks, pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("linked", pa.int64())])))], names=["id", "url", "host", "page", "skeleton", "blocks"])
 
     def _forget(node: Node) -> None:
         if dropped(node.label):  # what is dropped anyway needs no slots
@@ -280,9 +297,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for k in node.kids:
             _forget(k)
 
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.xxhash64(html_col).alias("page"), F.col(html_col).alias("html"))
     kind = rows.schema["id"].dataType.simpleString()
-    parsed = table(rows.mapInArrow(read, f"id {kind}, url string, host string, skeleton string, blocks array<struct<path string, text string, linked long>>"), "pages")
+    parsed = table(rows.mapInArrow(read, f"id {kind}, url string, host string, page long, skeleton string, blocks array<struct<path string, text string, linked long>>"), "pages")
     of = table(wrappers(parsed), "wrappers")
     if (of.agg(F.sum(F.length("wrapper"))).first()[0] or 0) <= BROADCAST_CHARS:
         of = F.broadcast(of)
@@ -297,8 +314,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     if len(memory) > 200:
                         memory.clear()
                     memory[raw] = content_paths(Node.load(json.loads(raw)))
-                keep = memory[raw]
-                texts.append("\n".join(x["text"] for x in found.as_py() if (how := keep.get(x["path"])) == 1 or how == 2 and x["linked"] * 2 <= len(x["text"])))
+                texts.append(main_text(found.as_py(), memory[raw]))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
     out = parsed.join(of, "host").select("id", "url", "wrapper", "blocks").mapInArrow(write, f"id {kind}, url string, text string, n_chars long")
