@@ -1,16 +1,17 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction.
 
 Fixed patterns find e-mail addresses, IP addresses, card and phone numbers.  These are the
-seeds.  A context is the two words before a token and the word after it, with digits
-folded.  Every occurrence of a seed votes for its contexts; every token that looks like an
-identifier (it holds a digit or @) but no fixed pattern found is an unseen instance.  Spark joins
+seeds.  A context is the two words before a place and the word after it, with digits
+folded, punctuation passed over, and ^ where no word comes before.  Every occurrence of a seed
+votes for its contexts; every longest run of tokens on a line that look like identifiers (they
+hold a digit or @) but that no fixed pattern found is an unseen instance.  Spark joins
 contexts and instances into a graph and scores it in rounds: a context is as sure of a
 kind as the share of its instances that are known to be of that kind (smoothed), an
 instance as sure as its best contexts together; only scores are passed on.  Contexts at
 ``sure`` or more with at least ``support`` distinct instances add their unseen instances as
 spans of the kind.
 
-Texts are read whole.  A text keeps one row an identifier-like token; texts without digits
+Texts are read whole.  A text keeps one row a run of identifier-like tokens; texts without digits
 and @ cost two searches.  The contexts kept at the end are those over the limits; they go
 to the tasks by a join in Spark, not by the driver.
 
@@ -42,6 +43,9 @@ _LOCAL_CHAR = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 _TOKEN = re.compile(r"\S+")
 _LIKE = re.compile(r"[0-9@]")
 _DIGITS = re.compile(r"[0-9]+")
+#: Tokens that may stand inside a run, and what is cut off around words and runs.
+_JOINS = re.compile(r"[-().+]+")
+_AROUND_WORD, _AROUND_RUN = ".,;:!?\"'()[]", ".,;:!?\"'()[]<>{}#$%&*="
 
 
 def luhn(digits: str) -> bool:
@@ -90,38 +94,56 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(set(spans), key=lambda f: (f[1], KINDS.index(f[0]) if f[0] in KINDS else len(KINDS), f[2])))
 
 
+def _runs(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """Longest runs of tokens with a digit or @, with only spaces and lone joins between them,
+    that no span touches."""
+    taken = iter(sorted((s, e) for _, s, e in spans))
+    hold, run, last = next(taken, None), None, 0
+    for m in _TOKEN.finditer(text):
+        while hold and hold[1] <= m.start():
+            hold = next(taken, None)
+        free = not (hold and hold[0] < m.end())
+        near = run is not None and free and not text[last : m.start()].strip(" ")
+        if free and _LIKE.search(m.group()):
+            if run and not near:
+                yield run
+            run = (run[0] if near else m.start(), m.end())
+        elif not near or not _JOINS.fullmatch(m.group()):
+            if run:
+                yield run
+            run = None
+        last = m.end()
+    if run:
+        yield run
+
+
 def occurrences(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str | None, int, int, str, str]]:
-    """(kind, start, end, instance, context) of the seeds and of tokens like identifiers.
+    """(kind, start, end, instance, context) of the seeds and of runs like identifiers.
 
-    kind is null for tokens that no span touches; punctuation around them is cut off.
+    kind is null for runs, which no span touches; punctuation around them is cut off.
     """
+    def named(piece: str) -> list[str]:
+        return [_DIGITS.sub("0", bare.lower()[:24]) for w in piece.split() if (bare := w.strip(_AROUND_WORD)) and any(c.isalnum() for c in bare)]
+
     def words(start: int, end: int) -> str:
-        before = text[max(0, start - 200) : start].split()[-2:]
-        after = text[end : end + 100].split()[:1]
-        return "\x1f".join(_DIGITS.sub("0", w.strip(".,;:!?\"'()[]").lower()[:24]) for w in [*[""] * (2 - len(before)), *before, *(after or [""])])
+        before = named(text[max(0, start - 200) : start])[-2:]
+        after = named(text[end : end + 100])[:1]
+        return "\x1f".join([*["^"] * (2 - len(before)), *before, *(after or [""])])
 
     for kind, s, e in spans:
         yield kind, s, e, text[s:e], words(s, e)
-    taken = iter(sorted((s, e) for _, s, e in spans))
-    hold = next(taken, None)
-    for m in _TOKEN.finditer(text):
-        if not _LIKE.search(m.group()):
-            continue
-        while hold and hold[1] <= m.start():
-            hold = next(taken, None)
-        if hold and hold[0] < m.end():
-            continue
-        token = m.group().strip(".,;:!?\"'()[]<>{}#$%&*=")
-        if len(token) < 5 or len(token) > 100:
-            continue
-        s = m.start() + m.group().index(token)
-        yield None, s, s + len(token), token, words(s, s + len(token))
+    for start, end in _runs(text, spans):
+        run = text[start:end]
+        s, e = start + len(run) - len(run.lstrip(_AROUND_RUN)), start + len(run.rstrip(_AROUND_RUN))
+        if s > start and text[s - 1] == "(" and text.count(")", s, e) > text.count("(", s, e):
+            s -= 1  # the bracket closes inside
+        yield None, s, e, text[s:e], words(s, e)
 
 
 def patterns(context: str) -> list[str]:
-    """Lexical patterns of a context: both sides, and the two words before."""
+    """Lexical patterns of a context: both sides, the two words before, and the word after."""
     a, b, c = context.split("\x1f")
-    return [f"{b} _ {c}", f"{a} {b} _"] if b else []
+    return [f"{b} _ {c}", f"{a} {b} _", *([f"_ {c}"] if c else [])]
 
 
 def find(docs: DataFrame, sure: float = SURE, support: int = SUPPORT, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+from logscope.llm import op5_pii as op5
 from logscope.llm import op10_top_k as op10
 
 
@@ -27,3 +28,16 @@ def test_top_k_with_repeated_query_rows(spark):
         best = sorted((-int(np.array(x) @ v), i) for x in asked for i, v in fine if i != q)[:20]
         want[q] = [(n, s, None if i == op10.NO_ID else i) for n, (s, i) in enumerate(best, 1)]
     assert got == want
+
+
+def test_context_finds_spaced_and_plain_identifiers(spark):
+    seeds = [form.format(f"+1 202 555 {k:04d}") for k in range(30) for form in ("please call number {} today", "{} is my phone", "Tel : {}", "- {} rings\nnext line")]
+    unseen = ["please call number (202) 555-0100 today", "please call number 202 555 - 0101 today", "please call number 0199 today", "555-0177x is my phone", "Tel : 555-0199", "- 20/2 555 rings\n7 lines", "please call number " + "9" * 300 + " today"]
+    clean = [f"chapter {k} has 12 pages and 4 tables" for k in range(40)]
+    texts = [*seeds, *unseen, *clean]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {texts[r["doc_id"]]: r for r in op5.find(df).collect()}
+    want = ["(202) 555-0100", "202 555 - 0101", "0199", "555-0177x", "555-0199", "20/2 555", "9" * 300]
+    for t, w in zip(unseen, want, strict=True):
+        assert f"phone:{t.index(w)}:{t.index(w) + len(w)}" in got[t]["spans"].split(","), (t, got[t]["spans"])
+    assert all(got[t]["n_added"] == 0 for t in (*seeds, *clean) if "next line" not in t)
