@@ -37,9 +37,12 @@ BROADCAST_CHARS = 32_000_000
 SALTS = 16
 #: Distinct pages that must agree before a text is taken for the template's.
 TEMPLATE_PAGES = 5
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|math)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea)(?=[\s/>]).*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S | re.I)
 CLASS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # Elements of HTML by role.
+#: Left out up to their end tag; without one, or closed in themselves, they are empty.
+HIDDEN = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("noscript", "template", "svg", "iframe", "math")}
+SELF_CLOSED = frozenset(("svg", "math"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -89,8 +92,8 @@ def parse(page: str | None) -> tuple[Node, list[tuple[str, str, int]]]:
             blocks.append(("/".join(n.label for n in stack[1:]), text, linked))
         linked = 0
 
-    in_link = False
-    for m in TOKEN.finditer(page):
+    in_link, no_end = False, set()
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             held.append(page[at : m.start()])
             if in_link:
@@ -102,6 +105,15 @@ def parse(page: str | None) -> tuple[Node, list[tuple[str, str, int]]]:
                 held.append(" ")
             continue
         tag, closing = tag.lower(), bool(m.group(2))
+        if tag in HIDDEN:
+            held.append(" ")
+            if not closing and tag not in no_end and not (tag in SELF_CLOSED and m.group(4).endswith("/")):
+                end = HIDDEN[tag].search(page, at)
+                if end:
+                    at = end.end()
+                else:
+                    no_end.add(tag)
+            continue
         if tag in INLINE:
             in_link = not closing if tag == "a" else in_link
             if tag == "br":

@@ -21,3 +21,12 @@ def test_each_page_is_judged_for_itself(spark):
         assert got[k] == f"Intro\n{long} {k}\nShort"
     assert got[12] == got[9]
     assert all(got[20 + k] == f"{long} {k}" for k in range(9))  # what many pages share stays the template's
+
+
+def test_elements_without_an_end_tag_hide_nothing(spark):
+    cases = ["<svg width='1' />", "<math/>", "<svg-icon name=x></svg-icon>", "<style-guide>", "<svg>", "<iframe src=x>", "<svg/><svg><text>no</text></svg>", "<noscript>no</noscript>", "<template><p>no</p></template>", "<svg/>" * 5_000 + "<svg>" * 5_000]
+    rows = [(k, f"http://h{k}.test/", f"<article><p>Before it</p>{c}<p>After it</p></article>") for k, c in enumerate(cases)]
+    rows.append((99, "http://z.test/", "<article><p>Before it</p><script>var x = '<p>no</p>'"))
+    got = texts(spark, rows)
+    assert got.pop(99) == "Before it"
+    assert got == {k: "Before it\nAfter it" for k in range(len(cases))}
