@@ -2,23 +2,38 @@
 
 ``parse`` adds ``ts, level, channel, message, context, extra`` to lines; ``level`` is null where
 the line is no entry of its own.  A text line's message ends at the leftmost place from
-which the rest is exactly one or two JSON values.  The usual shapes are split by column
-functions; only lines they leave undecided carry their body to an Arrow function that tries
-every place.
+which the rest is exactly one or two JSON values.
+
+The leftmost place is split into one or two values by column functions.  The JVM's parser
+ignores what follows a value, so each is parsed inside an array that ends with the value's own
+hash: only where the hash comes back as the last element was the text one value and no more.
+Lines that this leaves undecided carry their body to an Arrow function that tries every place.
 """
 
 from __future__ import annotations
 
 import json
+import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logscope.functions.levels import rank_of_code, rank_of_name
+from logscope.functions.levels import CODES, NAMES
+
+
+def _finite(text: str) -> float:
+    if math.isinf(value := float(text)):
+        raise ValueError(text)
+    return value
+
+
+def _no_constant(text: str) -> float:
+    raise ValueError(text)
 
-_DECODER = json.JSONDecoder(parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c)))
+
+_DECODER = json.JSONDecoder(parse_constant=_no_constant, parse_float=_finite)
 _JSON_SPACE = " \t\n\r"
 
 
@@ -50,6 +65,7 @@ def _one_or_two(tail: str) -> list | None:
             return None
         try:
             value, at = _DECODER.raw_decode(tail, at)
+            json.dumps(value, ensure_ascii=False).encode()  # no lone surrogates
         except (ValueError, RecursionError):
             return None
         values.append(value)
@@ -58,18 +74,32 @@ def _one_or_two(tail: str) -> list | None:
 _SPLIT = T.StructType([T.StructField(c, T.StringType()) for c in ("message", "context", "extra")])
 
 
-@F.pandas_udf(_SPLIT)
-def _split_rest(bodies: pd.Series) -> pd.DataFrame:
-    rows = [split_exact(b) or {"message": None, "context": None, "extra": None} for b in bodies]
-    return pd.DataFrame(rows, columns=["message", "context", "extra"])
+@F.arrow_udf(_SPLIT)
+def _split_rest(bodies: pa.Array) -> pa.Array:
+    """Bodies of text lines, and whole JSON lines (their value is in ``context``)."""
+    names = _SPLIT.fieldNames()
+    if bodies.null_count == len(bodies):
+        return pa.StructArray.from_arrays([pa.nulls(len(bodies), pa.string())] * 3, names)
+    rows = []
+    for text in bodies.to_pylist():
+        if text is not None and text.startswith("J"):
+            whole = _one_or_two(text[1:]) or ()
+            rows.append({"context": json.dumps(whole[0], ensure_ascii=False) if len(whole) == 1 else None})
+        else:
+            rows.append(split_exact(text and text[1:]) or {})
+    return pa.StructArray.from_arrays([pa.array([r.get(n) for r in rows], pa.string()) for n in names], names)
+
+
+# marked so that no later filter is copied below it, with all that it reads
+_split_rest = _split_rest.asNondeterministic()
 
 
 def timestamp(text: Column) -> Column:
     """RFC 3339, or date and time without a zone in the session's zone; else null."""
     text = F.trim(text)
     plain = text.rlike(r"^\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)?$")
-    # fractions beyond microseconds are cut
-    return F.when(plain, F.try_to_timestamp(F.regexp_replace(text, r"(\.\d{6})\d+", "$1")))
+    # fractions beyond microseconds are cut by the cast
+    return F.when(plain, text.try_cast("timestamp"))
 
 
 def useful(value: Column) -> Column:
@@ -88,58 +118,69 @@ def text_of(v: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(got) == "STRING", F.try_variant_get(v, path, "string"))
 
 
+def _case(value: str, keys: tuple) -> str:
+    return f"CASE {value} " + " ".join(f"WHEN {k!r} THEN {i}Y" for i, k in enumerate(keys)) + " END"
+
+
+def _string(v: str, path: str) -> str:
+    got = f"try_variant_get({v}, '{path}', 'variant')"
+    return f"CASE WHEN schema_of_variant({got}) = 'STRING' THEN CAST({got} AS STRING) END"
+
+
+def _same(array: str, text: str) -> str:
+    """Whether the array is the text's one value and its hash, and no more."""
+    return f"(try_variant_get({array}, '$[1]', 'bigint') = xxhash64({text}) AND try_variant_get({array}, '$[2]', 'variant') IS NULL)"
+
+
+#: What the two JSON parsers read differently: half a surrogate pair, numbers beyond a double.
+_RISKY = r"\\u[dD]|[0-9][eE]\+?[0-9]{3}"
+
+
 def parse(lines: DataFrame) -> DataFrame:
-    """``lines`` (with ``value``) and the entry's fields; ``value`` goes."""
-    line = F.regexp_replace(F.col("value"), r"^\s+|[\r\n]+$", "")
-    d = lines.withColumn("_line", line)
-    is_json, is_text = F.col("_line").startswith("{"), F.col("_line").startswith("[")
+    """``lines`` (with ``value``) and the entry's fields; ``value`` goes.
 
-    # text header: date up to the first ], channel and level up to the first :
-    close = F.instr("_line", "]")
-    rest = F.ltrim(F.expr("substring(_line, instr(_line, ']') + 1)"))
-    d = d.withColumn("_rest", F.when(is_text & (close > 0), rest))
-    head = F.substring_index("_rest", ":", 1)
-    level_text = F.trim(F.substring_index(head, ".", -1))
-    has = (F.instr("_rest", ":") > 0) & (F.instr(head, ".") > 0)
-    d = d.withColumn("_level", F.when(has, rank_of_name(level_text)))
-    d = d.withColumn("_channel", F.when(F.col("_level").isNotNull(), F.trim(F.expr("left(substring_index(_rest, ':', 1), length(substring_index(_rest, ':', 1)) - length(substring_index(substring_index(_rest, ':', 1), '.', -1)) - 1)"))))
-    d = d.withColumn("_body", F.when(F.col("_level").isNotNull(), F.ltrim(F.expr("substring(_rest, instr(_rest, ':') + 1)"))))
-
-    # usual shapes of the body, from the leftmost place where JSON may begin
-    brace, bracket = F.instr("_body", " {"), F.instr("_body", " [")
-    cut = F.when((brace > 0) & ((bracket == 0) | (brace < bracket)), brace).otherwise(bracket)
-    d = d.withColumn("_cut", cut)
-    d = d.withColumn("_tail", F.when(F.col("_cut") > 0, F.rtrim(F.expr("substring(_body, _cut + 1)"))))
-    short = F.col("_tail").rlike(r"[}\]] (\[\]|\{\})$")
-    one = F.when(short, F.expr("left(_tail, length(_tail) - 3)")).otherwise(F.col("_tail"))
-    d = d.withColumn("_one", F.try_parse_json(F.concat(F.lit("["), one, F.lit("]"))))
-    pair = F.regexp_replace("_tail", r"^(.*[}\]])\s+([{\[].*)$", "$1,$2")
-    both_empty = F.col("_tail").rlike(r"^(\[\]|\{\}) (\[\]|\{\})$")
-    d = d.withColumn("_two", F.when(F.col("_one").isNull() & (F.col("_tail") != pair), F.try_parse_json(F.concat(F.lit("["), pair, F.lit("]")))))
-    single = F.col("_one").isNotNull() & F.try_variant_get("_one", "$[1]", "variant").isNull()
-    double = F.try_variant_get("_two", "$[1]", "variant").isNotNull() & F.try_variant_get("_two", "$[2]", "variant").isNull()
-    d = d.withColumn("_how", F.when(F.col("_cut") == 0, F.lit("none")).when(both_empty, F.lit("empty")).when(single, F.lit("one")).when(double, F.lit("two")))
-    d = d.withColumn("_exact", _split_rest(F.when(F.col("_how").isNull(), F.col("_body"))))
-
-    # JSON lines
-    d = d.withColumn("_json", F.when(is_json, F.try_parse_json("_line")))
-    j = F.col("_json")
-    name = rank_of_name(text_of(j, "$.level_name"))
-    code = F.when(F.schema_of_variant(F.try_variant_get(j, "$.level", "variant")) == "BIGINT", rank_of_code(F.try_variant_get(j, "$.level", "bigint")))
-    level = F.when(_is_object(j), F.coalesce(name, code))
-    date = F.coalesce(text_of(j, "$.datetime"), text_of(j, "$.datetime.date"))
-
-    how = F.col("_how")
-    message = F.when(how == "none", F.rtrim("_body")).when(how.isNotNull(), F.rtrim(F.expr("left(_body, _cut - 1)"))).otherwise(F.col("_exact.message"))
-    context = F.when(how == "one", F.try_variant_get("_one", "$[0]", "variant")).when(how == "two", F.try_variant_get("_two", "$[0]", "variant")).when(how.isNull(), F.try_parse_json("_exact.context"))
-    extra = F.when(how == "two", F.try_variant_get("_two", "$[1]", "variant")).when(how.isNull(), F.try_parse_json("_exact.extra"))
+    Each step is one projection, so nothing is parsed or searched twice.
+    """
     keep = [c for c in lines.columns if c != "value"]
-    return d.select(
-        *keep,
-        F.when(is_json, F.when(level.isNotNull(), timestamp(date))).when(F.col("_level").isNotNull(), timestamp(F.expr("substring(_line, 2, instr(_line, ']') - 2)"))).alias("ts"),
-        F.when(is_json, level).otherwise(F.col("_level")).alias("level"),
-        F.when(is_json, F.when(level.isNotNull(), F.coalesce(text_of(j, "$.channel"), F.lit("app")))).otherwise(F.col("_channel")).alias("channel"),
-        F.when(is_json, F.when(level.isNotNull(), F.coalesce(text_of(j, "$.message"), F.lit("")))).otherwise(message).alias("message"),
-        useful(F.when(is_json, F.try_variant_get(j, "$.context", "variant")).otherwise(context)).alias("context"),
-        useful(F.when(is_json, F.try_variant_get(j, "$.extra", "variant")).otherwise(extra)).alias("extra"),
+    line = F.rtrim(F.ltrim("value", F.lit(" \t\n\x0b\f\r")), F.lit("\r\n"))
+    d = lines.select(*keep, line.alias("_line"))
+    # text header: date up to the first ], channel and level up to the first :
+    d = d.selectExpr(*keep, "_line", "startswith(_line, '{') AS _is_json", "CASE WHEN startswith(_line, '[') THEN nullif(instr(_line, ']'), 0) END AS _close")
+    d = d.selectExpr("*", "ltrim(substring(_line, _close + 1)) AS _rest")
+    d = d.selectExpr("*", "CASE WHEN instr(_rest, ':') > 0 THEN left(_rest, instr(_rest, ':') - 1) END AS _head")
+    d = d.selectExpr("*", "CASE WHEN instr(_head, '.') > 0 THEN substring_index(_head, '.', -1) END AS _word")
+    d = d.selectExpr(*keep, "_line", "_is_json", "_close", "_head", "_word", "_rest", f"{_case('trim(_word)', NAMES)} AS _level")
+    d = d.selectExpr(*keep, "_line", "_is_json", "_close", "_level", "CASE WHEN _level IS NOT NULL THEN trim(left(_head, length(_head) - length(_word) - 1)) END AS _channel", "CASE WHEN _level IS NOT NULL THEN ltrim(substring(_rest, length(_head) + 2)) END AS _body")
+    # the leftmost place where JSON may begin, and where a second value may
+    d = d.selectExpr("*", "nullif(least(coalesce(nullif(instr(_body, ' {'), 0), 2147483647), coalesce(nullif(instr(_body, ' ['), 0), 2147483647)), 2147483647) AS _cut")
+    d = d.selectExpr("*", "CASE WHEN _is_json THEN rtrim(_line) ELSE rtrim(substring(_body, _cut + 1)) END AS _tail")
+    d = d.withColumn("_second", F.when(~F.col("_is_json"), F.length(F.regexp_extract("_tail", r"(?s)^.*[}\]][ \t\n\r]+(?=[{\[])", 0))))
+    d = d.selectExpr("*", "CASE WHEN _second > 0 THEN rtrim(left(_tail, _second)) ELSE _tail END AS _v1", "CASE WHEN _second > 0 THEN substring(_tail, _second + 1) END AS _v2")
+    array = "try_parse_json(concat('[', {0}, ',', xxhash64({0}), ']'))"
+    d = d.selectExpr("*", f"{array.format('_v1')} AS _a1", f"CASE WHEN _v2 NOT IN ('[]', '{{}}') THEN {array.format('_v2')} END AS _a2")
+    d = d.withColumn("_risky", F.col("_tail").rlike(_RISKY))
+    d = d.selectExpr("*", f"(_tail IS NULL OR (NOT _risky AND {_same('_a1', '_v1')} AND (_v2 IS NULL OR _v2 IN ('[]', '{{}}') OR {_same('_a2', '_v2')}))) IS TRUE AS _ok")
+    d = d.withColumn("_exact", _split_rest(F.expr("CASE WHEN NOT _ok AND _is_json THEN concat('J', _line) WHEN NOT _ok AND _body IS NOT NULL THEN concat('B', _body) END")))
+    d = d.selectExpr(
+        *keep, "_line", "_is_json", "_close", "_level", "_channel",
+        "CASE WHEN _body IS NULL THEN NULL WHEN _tail IS NULL THEN rtrim(_body) WHEN _ok THEN rtrim(left(_body, _cut - 1)) ELSE _exact.message END AS _message",
+        "CASE WHEN _ok THEN try_variant_get(_a1, '$[0]', 'variant') ELSE try_parse_json(_exact.context) END AS _one",
+        "CASE WHEN _ok THEN try_variant_get(_a2, '$[0]', 'variant') ELSE try_parse_json(_exact.extra) END AS _two",
+    )
+    # JSON lines: the level by name, else by code; without either it is no entry
+    code = "try_variant_get(_one, '$.level', 'variant')"
+    code = f"CASE WHEN schema_of_variant({code}) = 'BIGINT' THEN {_case(f'CAST({code} AS BIGINT)', CODES)} END"
+    name = _case(_string("_one", "$.level_name"), NAMES)
+    d = d.selectExpr("*", f"CASE WHEN _is_json THEN coalesce({name}, {code}) ELSE _level END AS level")
+    d = d.selectExpr(
+        *keep, "level", "_line", "_close", "_level", "_channel", "_message", "_one", "_two", "(_is_json AND level IS NOT NULL) AS _from_json", "_is_json",
+    )
+    date = f"CASE WHEN _from_json THEN coalesce({_string('_one', '$.datetime')}, {_string('_one', '$.datetime.date')}) WHEN _level IS NOT NULL THEN substring(_line, 2, _close - 2) END"
+    d = d.selectExpr(
+        *keep, "level", f"{date} AS _date",
+        f"CASE WHEN _from_json THEN coalesce({_string('_one', '$.channel')}, 'app') ELSE _channel END AS channel",
+        f"CASE WHEN _from_json THEN coalesce({_string('_one', '$.message')}, '') ELSE _message END AS message",
+        "CASE WHEN _from_json THEN try_variant_get(_one, '$.context', 'variant') WHEN NOT _is_json THEN _one END AS context",
+        "CASE WHEN _from_json THEN try_variant_get(_one, '$.extra', 'variant') WHEN NOT _is_json THEN _two END AS extra",
     )
+    return d.select(*keep, timestamp(F.col("_date")).alias("ts"), "level", "channel", "message", useful(F.col("context")).alias("context"), useful(F.col("extra")).alias("extra"))

@@ -2,34 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+# Fixed pattern: what may follow a quote that closes.
+_CLOSED = r'[\s,;:.)\]}"!?]'
+_UNNESTED = rf'^[^"]*+(?:"[^"]*+"(?={_CLOSED}|$)[^"]*+)*+(?:"[^"]*+)?$'
+
+
 def fold(text: Column) -> Column:
     """Digit runs become #, outermost quoted runs a placeholder, nested quotes included.
 
-    Texts without quotes need one replacement; others are folded character by character.
+    A quote that is open to the end hides the rest.  Texts whose quotes don't nest need two
+    replacements; others are walked quote by quote.
     """
-    plain = F.regexp_replace(text, "[0-9]+", "#")
-    step = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"))
-    n = F.length(text)
+    return let(text, lambda t: F.regexp_replace(F.when(~t.contains('"'), t).when(t.rlike(f"(?s){_UNNESTED}"), F.regexp_replace(t, '"[^"]*("|$)', '"…"')).otherwise(let(F.split(t, '"'), _walked)), "[0-9]+", "#"))
+
+
+def _walked(pieces: Column) -> Column:
+    step = F.struct(F.element_at(pieces, 1).alias("out"), F.lit(0).alias("depth"))
 
     def over(acc: Column, i: Column) -> Column:
-        c, after = F.substring(text, i, F.lit(1)), F.substring(text, i + 1, F.lit(1))
-        quote = c == '"'
-        ends = (i >= n) | after.rlike(r'^[\s,;:.)\]}"!?]$')
-        depth = F.when(~quote, acc["depth"]).when(acc["depth"] == 0, F.lit(1)).when(ends, acc["depth"] - 1).otherwise(acc["depth"] + 1)
-        out = F.when(quote, F.when(acc["depth"] == 0, F.concat(acc["out"], F.lit('"…"'))).otherwise(acc["out"])).when(acc["depth"] > 0, acc["out"]).otherwise(F.concat(acc["out"], c))
+        # the quote before piece i; an empty piece stands before another quote or the end
+        piece, last = F.get(pieces, i), i == F.size(pieces) - 1
+        ends = F.when(piece == "", F.lit(True)).otherwise(piece.rlike(f"^{_CLOSED}"))
+        depth = F.when(acc["depth"] == 0, F.lit(1)).when(ends | (last & (piece == "")), acc["depth"] - 1).otherwise(acc["depth"] + 1)
+        out = F.concat(acc["out"], F.when(acc["depth"] == 0, F.lit('"…"')).otherwise(F.lit("")), F.when(depth == 0, piece).otherwise(F.lit("")))
         return F.struct(out.alias("out"), depth.alias("depth"))
 
-    walked = F.aggregate(F.sequence(F.lit(1), n), step, over, lambda a: a["out"])
-    return F.when(text.contains('"'), F.regexp_replace(walked, "[0-9]+", "#")).otherwise(plain)
+    return F.aggregate(F.sequence(F.lit(1), F.size(pieces) - 1), step, over, lambda a: a["out"])
 
 
 def truncate(text: Column, size: int) -> Column:
     """At most ``size`` characters, then an ellipsis."""
-    return F.when(F.length(text) > size, F.concat(F.left(text, F.lit(size)), F.lit("…"))).otherwise(text)
+    return let(text, lambda t: F.when(F.length(t) > size, F.concat(F.left(t, F.lit(size)), F.lit("…"))).otherwise(t))
 
 
 def cache_key(key: Column) -> Column:
@@ -60,11 +74,15 @@ _IDENTIFIER = "(?:[0-9]+|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F
 
 def url_target(url: Column) -> Column:
     """Host and path without query, fragment, scheme and credentials; identifiers folded."""
-    bare = F.regexp_replace(F.trim(url), r"(?s)[?#].*$", "")
-    bare = F.when(bare.contains("://"), F.regexp_replace(bare, r"(?s)^.*?://", "")).otherwise(bare)
-    authority = F.regexp_extract(bare, r"(?s)^([^/]*)", 1)
-    path = F.regexp_extract(bare, r"(?s)^[^/]*(.*)$", 1)
-    host = F.lower(F.substring_index(authority, "@", -1))
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
+    return let(F.regexp_replace(F.trim(url), r"(?s)[?#].*$", ""), _target)
+
+
+def _target(bare: Column) -> Column:
+    return let(F.when(bare.contains("://"), F.regexp_replace(bare, r"(?s)^.*?://", "")).otherwise(bare), _folded_path)
+
+
+def _folded_path(bare: Column) -> Column:
+    host = F.lower(F.substring_index(F.substring_index(bare, "/", 1), "@", -1))
+    parts = F.filter(F.split(F.regexp_extract(bare, r"(?s)^[^/]*(.*)$", 1), "/"), lambda s: s != "")
     named = F.transform(parts, lambda s: F.when(s.rlike(f"^{_IDENTIFIER}$"), F.lit("#")).when(s.rlike(f"^{_IDENTIFIER}\\.[a-zA-Z0-9]{{1,5}}$"), F.concat(F.lit("#."), F.substring_index(s, ".", -1))).otherwise(s))
     return truncate(F.array_join(F.concat(F.array(host), named), "/"), 200)

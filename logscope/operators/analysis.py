@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from logscope.functions import classify, fields
 from logscope.functions.levels import is_error
 from logscope.functions.text import signature
+from logscope.sources.store import drop, table
 
 
 @dataclass(frozen=True)
@@ -33,72 +34,119 @@ def _subject(kind: str, name: Column) -> Column:
     return F.when(name.isNotNull(), F.struct(F.lit(kind).alias("kind"), name.alias("name")))
 
 
+class Lines:
+    """The typed lines of a log, shared by all analyses of it.
+
+    Each line is parsed and classified once, whatever keys, window or timeout is asked for:
+    every key that may hold a duration or a token is kept beside the line.
+    """
+
+    def __init__(self, entries: DataFrame, launched_ms: int = 0, more_durations: tuple[str, ...] = (), more_tokens: tuple[str, ...] = (), unit: str = "auto"):
+        self.entries, self.launched_ms, self.unit = entries, launched_ms, unit
+        self.duration_keys = tuple(dict.fromkeys((*fields.DURATION_KEYS, *more_durations)))
+        self.token_keys = tuple(dict.fromkeys((*fields.TOKEN_KEYS, *more_tokens)))
+
+    def knows(self, o: Options) -> bool:
+        return o.duration_unit == self.unit and o.duration_key in (None, *self.duration_keys) and o.correlate_key in (None, *self.token_keys)
+
+    @cached_property
+    def plan(self) -> DataFrame:
+        """Entries with their typed fields; context and extra go, so rows can be grouped."""
+        stamped = self.entries.withColumn("ts_ms", F.coalesce(F.unix_millis("ts"), F.lit(self.launched_ms)))
+        d = fields.prepare(stamped.withColumn("is_error", is_error(F.col("level"))), self.duration_keys, self.token_keys, self.unit)
+        d = classify.message_parts(classify.http_parts(d))
+        d = d.select(
+            "source", "ord", "ts", "ts_ms", "level", "channel", "message", "head", "is_error",
+            "durations", "tokens",
+            fields.status().alias("status"), fields.route().alias("route"), fields.request_uri().alias("uri"), fields.method().alias("method"),
+            F.when(F.col("is_error"), fields.exception_class()).alias("exception"), F.when(F.col("is_error"), F.to_json("context")).alias("context_json"),
+            classify.sql_statement().alias("sql"), classify.http_call().alias("http"), classify.message_event().alias("msg"),
+            classify.cache_miss().alias("cache"), classify.command().alias("cmd"), classify.deprecation().alias("depr"),
+            fields.is_matched_route().alias("matched"), fields.is_off_request().alias("off_request"),
+        )
+        d = d.withColumn("own_endpoint", F.coalesce("route", F.substring_index("uri", "?", 1)))
+        own = F.coalesce(_subject("command", F.col("cmd.name")), _subject("endpoint", F.col("own_endpoint")))
+        sig = F.when(F.col("is_error"), signature(F.col("exception"), F.col("head")))
+        return d.withColumns({"own": own, "signature": sig}).drop("head")
+
+    @cached_property
+    def typed(self) -> DataFrame:
+        """The typed lines, written: every table reads the columns it needs of them."""
+        return table(self.plan, "typed")
+
+    def close(self) -> None:
+        if "typed" in self.__dict__:
+            drop(self.typed)
+
+
 class Analysis:
-    """One analysis of ``entries`` (source, ord, ts, level, channel, message, context, extra)."""
+    """One analysis of ``entries`` (source, ord, ts, level, channel, message, context, extra),
+    or of the ``Lines`` made of them."""
 
-    def __init__(self, entries: DataFrame, options: Options = Options(), launched_ms: int = 0):
+    def __init__(self, entries: DataFrame | Lines, options: Options = Options(), launched_ms: int = 0):
         self.options, self._kept = options, []
-        stamped = entries.withColumn("ts_ms", F.coalesce(F.unix_millis("ts"), F.lit(launched_ms)))
-        self.all = stamped
+        self.shared = entries if isinstance(entries, Lines) else Lines(entries, launched_ms, (options.duration_key,) if options.duration_key else (), (options.correlate_key,) if options.correlate_key else (), options.duration_unit)
+        self._owner = not isinstance(entries, Lines)
+        if not self.shared.knows(options):
+            raise ValueError("the lines were typed without the keys or the unit that are asked for")
         o = options
         inside = F.lit(True)
         if o.since_ms is not None:
             inside = inside & (F.col("ts_ms") >= o.since_ms)
         if o.until_ms is not None:
             inside = inside & (F.col("ts_ms") <= o.until_ms)
-        self.entries, self.inside = stamped.where(inside), inside
+        self.inside = inside
 
     def _keep(self, df: DataFrame) -> DataFrame:
-        """Persist what several tables read; lost blocks are computed again."""
-        self._kept.append(df.persist())
+        """Write what several tables read."""
+        self._kept.append(table(df, "kept"))
         return self._kept[-1]
 
     def close(self) -> None:
-        """Give the memory back; tables made before are computed anew if read again."""
+        """Delete what was written; tables made before can't be read again."""
         for df in self._kept:
-            df.unpersist()
+            drop(df)
         self._kept.clear()
+        if self._owner:
+            self.shared.close()
+
+    @cached_property
+    def all(self) -> DataFrame:
+        return self.shared.typed
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        return self.all.where(self.inside)
+
+    @cached_property
+    def _found(self) -> dict:
+        """What the first lines decide, in one aggregate: the first place of each key that holds
+        a duration or a token, and of a matched route."""
+        place = lambda pairs, k: F.min(F.when(F.exists(pairs, lambda x: x["key"] == k), F.col("ord")))
+        row = self.entries.agg(
+            F.min(F.when(F.col("matched"), F.col("ord"))).alias("matched"),
+            *(place("durations", k).alias(f"d{i}") for i, k in enumerate(fields.DURATION_KEYS)), *(place("tokens", k).alias(f"t{i}") for i, k in enumerate(fields.TOKEN_KEYS)),
+        ).first()
+        return row.asDict()
+
+    def _locked(self, kind: str, keys: tuple[str, ...]) -> str | None:
+        # of keys that begin in the same entry, the first listed
+        places = [(at, i) for i in range(len(keys)) if (at := self._found[f"{kind}{i}"]) is not None]
+        return keys[min(places)[1]] if places else None
 
     @cached_property
     def keys(self) -> tuple[str | None, str | None]:
         """The duration key and the token key: of the first entry that has one."""
         o = self.options
-        ask = ([] if o.duration_key else [("d", k) for k in fields.DURATION_KEYS]) + ([] if o.correlate_key or not o.correlate else [("t", k) for k in fields.TOKEN_KEYS])
-        found: dict[str, str | None] = {"d": o.duration_key, "t": o.correlate_key if o.correlate else None}
-        if ask:
-            def there(what: str, key: str) -> Column:
-                if what == "d":
-                    return fields.to_millis(fields.lookup(key), key, o.duration_unit).isNotNull()
-                return F.coalesce(fields.as_text(fields.lookup(key)), F.lit("")) != ""
-
-            prepared = fields.prepare(self.entries, only=tuple(dict.fromkeys(k for _, k in ask)))
-            row = prepared.agg(*(F.min(F.when(there(what, key), F.col("ord"))).alias(f"k{i}") for i, (what, key) in enumerate(ask))).first()
-            for kind in {what for what, _ in ask}:
-                # of keys that begin in the same entry, the first listed
-                best = min(((row[f"k{i}"], i) for i, (what, _) in enumerate(ask) if what == kind and row[f"k{i}"] is not None), default=None)
-                found[kind] = ask[best[1]][1] if best else None
-        return found["d"], found["t"]
+        duration = o.duration_key or self._locked("d", fields.DURATION_KEYS)
+        return duration, (o.correlate_key or self._locked("t", fields.TOKEN_KEYS)) if o.correlate else None
 
     @cached_property
     def lines(self) -> DataFrame:
-        """Entries with their typed fields; context and extra go, so rows can be grouped."""
+        """The lines of the window with their duration and token."""
         duration, token = self.keys
-        none = F.lit(None)
-        ms = fields.to_millis(fields.lookup(duration), duration, self.options.duration_unit) if duration else none.cast("double")
-        tok = F.nullif(fields.as_text(fields.lookup(token)), F.lit("")) if token else none.cast("string")
-        more = [k for k in (duration, token) if k]
-        d = fields.prepare(self.entries, *more).select(
-            "source", "ord", "ts", "ts_ms", "level", "channel", "message", "head",
-            is_error(F.col("level")).alias("is_error"), ms.alias("duration_ms"), tok.alias("token"),
-            fields.status().alias("status"), fields.endpoint().alias("own_endpoint"), fields.method().alias("method"),
-            fields.exception_class().alias("exception"), F.to_json("context").alias("context_json"),
-            classify.sql_statement().alias("sql"), classify.http_call().alias("http"), classify.message_event().alias("msg"),
-            classify.cache_miss().alias("cache"), classify.command().alias("cmd"), classify.deprecation().alias("depr"),
-            fields.is_matched_route().alias("matched"), fields.is_off_request().alias("off_request"),
-        )
-        own = F.coalesce(_subject("command", F.col("cmd.name")), _subject("endpoint", F.col("own_endpoint")))
-        sig = F.when(F.col("is_error"), signature(F.col("exception"), F.col("head")))
-        return self._keep(d.withColumns({"own": own, "signature": sig}).drop("head"))
+        both = {"duration_ms": fields.of_key("durations", duration, "ms", "double"), "token": fields.of_key("tokens", token, "token", "string")}
+        return self.entries.withColumns(both).drop("durations", "tokens")
 
     @cached_property
     def enriched(self) -> DataFrame:
@@ -122,7 +170,7 @@ class Analysis:
 
     @cached_property
     def first_matched(self) -> int | None:
-        return self.lines.agg(F.min(F.when(F.col("matched"), F.col("ord")))).first()[0]
+        return self._found["matched"]
 
     def counts_as_request(self) -> Column:
         """Matched-route lines; before the first of them, lines with a duration."""

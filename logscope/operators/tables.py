@@ -21,7 +21,7 @@ def _n(cond: Column) -> Column:
 
 def levels(a: Analysis) -> DataFrame:
     """level, count for all eight levels."""
-    every = a.entries.sparkSession.range(8).select(F.col("id").cast("tinyint").alias("level"))
+    every = a.lines.sparkSession.range(8).select(F.col("id").cast("tinyint").alias("level"))
     seen = a.entries.groupBy("level").agg(F.count("*").alias("n"))
     name = F.element_at(F.array(*(F.lit(x.lower()) for x in NAMES)), F.col("level").cast("int") + 1)
     return every.join(seen, "level", "left").select(name.alias("level"), F.coalesce("n", F.lit(0)).alias("count"))

@@ -16,7 +16,7 @@ from logscope.functions.parse import parse
 from logscope.functions.quantile import quantiles
 from logscope.functions.text import contains_ignoring_case, fold, one_line_sql, truncate, url_target
 from logscope.operators import tables, timeline
-from logscope.operators.analysis import Analysis, Options
+from logscope.operators.analysis import Analysis, Lines, Options
 from logscope.operators.assemble import assemble
 from logscope.plans.thresholds import evaluate
 from logscope.sources.virtual import virtual_log
@@ -32,24 +32,30 @@ def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-_open: dict[tuple, Analysis] = {}
+_open: dict[tuple, tuple[Lines, dict[Options, Analysis]]] = {}
 
 
 def analysis(spark: SparkSession, sf: str, options: Options = OPTIONS) -> Analysis:
-    """The analysis of the virtual log, shared by all tables that are asked of it.
+    """The analysis of the virtual log under these options.
 
-    One is open at a time: another log or other options give its memory back.
+    All analyses of one log share its typed lines.  One log is open at a time: another
+    gives its memory back.
     """
-    app = spark.sparkContext.applicationId
-    key = (app, sf, options)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _open:
-        for (old_app, *_), old in _open.items():
-            if old_app == app:
+        for (app, _), (old, analyses) in _open.items():
+            if app == key[0]:
+                for a in analyses.values():
+                    a.close()
                 old.close()
         _open.clear()
-        entries = parse(virtual_log(_read(spark, sf, "events"))).where("level is not null")
-        _open[key] = Analysis(entries, options)
-    return _open[key]
+        # the events lie in one row group, which one task would read
+        events = _read(spark, sf, "events").repartition(spark.sparkContext.defaultParallelism)
+        _open[key] = Lines(parse(virtual_log(events)).where("level is not null")), {}
+    lines, analyses = _open[key]
+    if options not in analyses:
+        analyses[options] = Analysis(lines, options)
+    return analyses[options]
 
 
 def _ms(c: str) -> F.Column:

@@ -36,6 +36,10 @@ class Live(Analysis):
     def _keep(self, df: DataFrame) -> DataFrame:
         return df
 
+    @property
+    def all(self) -> DataFrame:
+        return self.shared.plan
+
 
 def merged(streams: list[DataFrame], delay: str = "10 seconds") -> DataFrame:
     """Sources with a watermark each; the least one counts."""
