@@ -104,9 +104,11 @@ def session_totals(lines: DataFrame, timeout_ms: int = 5000) -> DataFrame:
     The gap is a millisecond short, as sessions that are exactly a gap apart are merged.
     """
     session = F.session_window("ts", f"{timeout_ms - 1} milliseconds")
-    # lines without a token move the watermark too: rand keeps the filter above it
-    g = lines.where(F.when(F.rand() >= 0, F.col("token")).isNotNull()).groupBy("token", session.alias("s")).agg(F.count("*").alias("n"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), F.count("sql").alias("queries"))
-    return g.drop("s")
+    # lines without a token move the watermark too: a filter on the token would be pushed below
+    # it, so they are grouped, by salt, and left out afterwards
+    salt = F.when(F.col("token").isNull(), F.pmod(F.xxhash64("ts_ms"), F.lit(64)))
+    g = lines.groupBy("token", salt.alias("_salt"), session.alias("s")).agg(F.count("token").alias("n"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), F.count("sql").alias("queries"))
+    return g.where("n > 0").drop("s", "_salt")
 
 
 def rates(lines: DataFrame, secs: int = 60) -> DataFrame:
