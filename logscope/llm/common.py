@@ -2,42 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a run of characters other than ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
+from logscope.sources.store import drop_all, shared_dir, table
 
+__all__ = ["WORD", "drop_all", "read", "shared_dir", "table", "word_count"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none (single-machine tests) a temporary folder
-    is made, once per application, and used in its place.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = getattr(spark.sparkContext, "_llm_shared_dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="llm-")
-        spark.sparkContext._llm_shared_dir = named
-    return named.rstrip("/")
-
-
-def table(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` into the shared folder and return a scan of it.
-
-    This cuts the lineage: what follows re-reads the files when an executor is
-    lost, and several consumers read them instead of recomputing ``df``.
-    """
-    spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{shared_dir(spark)}/llm-{app}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A word is a run of characters other than ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

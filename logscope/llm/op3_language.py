@@ -112,7 +112,8 @@ def fit_letters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     sums = some.select("lang", "text").mapInArrow(count, "lang string, t string, n long").groupBy("t", "lang").agg(F.sum("n").alias("n"))
     best = sums.groupBy("t").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).orderBy(F.desc("all"), "t").limit(TRIGRAMS).collect()
-    langs = sorted({k for r in best for k in r.by})
+    # every language of the sample, however rare its trigrams
+    langs = sorted(r.lang for r in some.select("lang").distinct().collect())
     return Letters(langs, {r.t: np.array([r.by.get(x, 0) for x in langs], float) for r in best})
 
 
@@ -178,7 +179,10 @@ def document_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def page_rows(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     host = F.nullif(host_of(F.col(url_col)), F.lit(""))
-    declared = F.lower(F.regexp_extract(F.coalesce(F.col(html_col), F.lit("")), r"(?i)<html[^>]{0,2000}?\slang\s*=\s*[\"']?([a-z]{2,8})", 1))
+    page, none = F.coalesce(F.col(html_col), F.lit("")), F.lit("")
+    # of the html element, else of a content-language meta, in either order of its attributes
+    tag, meta = F.regexp_extract(page, r"(?i)<html\b[^>]*", 0), F.regexp_extract(page, r"(?i)<meta\b[^>]*content-language[^>]*", 0)
+    declared = F.lower(F.coalesce(F.nullif(F.regexp_extract(tag, r"(?i)\s(?:xml:)?lang\s*=\s*[\"']?([a-z]{2,8})", 1), none), F.regexp_extract(meta, r"(?i)\scontent\s*=\s*[\"']?([a-z]{2,8})", 1)))
     return pages.select(F.lit("page").alias("kind"), F.col(id_col).cast("long").alias("id"), host.alias("host"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"), F.regexp_extract(host, r"\.([^.]+)$", 1).alias("suffix"), F.nullif(declared, F.lit("")).alias("declared"), F.col(html_col).alias("text"))
 
 
