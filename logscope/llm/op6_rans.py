@@ -11,8 +11,10 @@ Block layout, little-endian: ``HEADER``; presence flags and ids of the documents
 (u1, i8); their token counts (u8); the words' positions at the checkpoints (u8) and
 the states there (u8 each lane); the words (u4); crc32 of all before it (u4).
 
-Blocks are rows of a table (part, seq, n_docs, n_tokens, blob) that Spark writes
-and commits, so any store Spark reaches can hold it.
+The file format is two tables that Spark writes and commits, so any store it reaches can hold
+them: the blocks (part, seq, n_docs, n_tokens, blob), and the shared frequencies (token, freq),
+whose checksum every block carries.  Both are read back from there; nothing else is needed.
+``read_range`` starts at the last checkpoint before what is asked for.
 
 Nulls: a null text is empty (only the end id); a null id sorts first.  Rows with
 the same id are ordered by a hash of the text, rows alike in both are alike in
@@ -196,10 +198,12 @@ def shared_counts(tokens: DataFrame, tokenizer: str) -> np.ndarray:
     return counts
 
 
-def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """The written blocks (part, seq, n_docs, n_tokens, blob) and the frequencies."""
+def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The written blocks (part, seq, n_docs, n_tokens, blob) and frequencies (token, freq)."""
     tokens = table(tokenized(docs, tokenizer, end_id, id_col, text_col), "tokens")
     freq = frequencies(shared_counts(tokens, tokenizer))
+    stored = docs.sparkSession.createDataFrame(list(enumerate(freq.tolist())), "token long, freq long")
+    stored = table(stored.coalesce(1), "frequencies")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, dtype, part = Table(freq), coder(tokenizer).dtype, TaskContext.get().partitionId()
@@ -223,15 +227,54 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
 
     ordered = tokens.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie")
     written = ordered.mapInArrow(blocks, "part int, seq int, n_docs long, n_tokens long, blob binary")
-    return table(written, "rans", compression="none"), freq
+    return table(written, "rans", compression="none"), stored
 
 
-def read_blocks(blocks: DataFrame, freq: np.ndarray, id_col: str = "doc_id") -> DataFrame:
-    """Per document: id, start, n_tokens and ids_crc32, all from the decoded blocks."""
+def stored_table(frequencies: DataFrame) -> np.ndarray:
+    """The frequencies from their table: one row a token of the vocabulary, never more."""
+    rows = frequencies.orderBy("token").collect()
+    if [r["token"] for r in rows] != list(range(len(rows))) or sum(r["freq"] for r in rows) != 1 << PRECISION:
+        raise ValueError("not a whole frequency table")
+    return np.array([r["freq"] for r in rows], np.uint64)
+
+
+def block_starts(blocks: DataFrame) -> DataFrame:
+    """part, seq, start: ids of all blocks before each."""
     sums = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     parts = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     inside = Window.partitionBy("part").orderBy("seq")
-    starts = blocks.select("part", "seq", (F.sum("n_tokens").over(inside) - F.col("n_tokens")).alias("before")).join(parts, "part").select("part", "seq", (F.col("before") + F.col("base")).alias("start"))
+    return blocks.select("part", "seq", (F.sum("n_tokens").over(inside) - F.col("n_tokens")).alias("before")).join(parts, "part").select("part", "seq", (F.col("before") + F.col("base")).alias("start"))
+
+
+def read_range(blocks: DataFrame, frequencies: DataFrame, first: int, last: int) -> DataFrame:
+    """at, id: the ids at the places from ``first`` up to ``last``.
+
+    A row is made of each stretch between checkpoints that holds some of them, so several tasks
+    read one block, each from its own checkpoint, and no other part of it is decoded.
+    """
+    freq = stored_table(frequencies)
+    # blocks hold as many coders as they have ids for; see encode_block
+    lanes = F.greatest(F.lit(1), F.least(F.lit(LANES), F.floor(F.col("n_tokens") / 256)))
+    some = blocks.join(block_starts(blocks), ["part", "seq"]).where((F.col("start") < last) & (F.col("start") + F.col("n_tokens") > first))
+    some = some.withColumn("span", (lanes * CHECK_STEPS).cast("long"))
+    inside = F.sequence(F.floor(F.greatest(F.lit(0), F.lit(first) - F.col("start")) / F.col("span")), F.floor((F.least(F.col("n_tokens"), F.lit(last) - F.col("start")) - 1) / F.col("span")))
+    stretches = some.select("part", "seq", "start", "span", "blob", F.explode(inside).alias("check"))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = Table(freq)
+        for b in batches:
+            for start, span, blob, check in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                ids = Block(blob, t).ids(check, check + 1)
+                at = start + check * span + np.arange(len(ids))
+                keep = (at >= first) & (at < last)
+                yield pa.record_batch([pa.array(at[keep]), pa.array(ids[keep].astype(np.int64))], names=["at", "id"])
+
+    return stretches.repartition("part", "seq", "check").select("start", "span", "blob", "check").mapInArrow(decode, "at long, id long")
+
+
+def read_blocks(blocks: DataFrame, frequencies: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Per document: id, start, n_tokens and ids_crc32, all from the stored tables."""
+    freq, starts = stored_table(frequencies), block_starts(blocks)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Table(freq)

@@ -15,7 +15,8 @@ article or main element, its texts outside such elements count that are not most
 not the template's, which is short text that ``TEMPLATE_PAGES`` distinct pages of the host or
 more have in one place, and no page has otherwise.
 
-Nulls: a null or empty html gives an empty text; a null url is a host of its own.  Repeated
+Very long and very deep pages are read whole: what lies deeper than ``DEPTH`` elements is laid
+flat.  Nulls: a null or empty html gives an empty text; a null url is a host of its own.  Repeated
 rows are extracted alike.  An empty table gives an empty result; other columns are ignored.
 """
 
@@ -24,7 +25,9 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +38,8 @@ from logscope.llm.common import table
 #: Most characters of wrappers that are broadcast.
 BROADCAST_CHARS = 32_000_000
 SALTS = 16
+#: Levels of nesting; elements below are laid flat, as browsers do, and keep all their text.
+DEPTH = 250
 #: Distinct pages that must agree before a text is taken for the template's.
 TEMPLATE_PAGES = 5
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea)(?=[\s/>]).*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S | re.I)
@@ -79,6 +84,8 @@ def parse(page: str | None) -> tuple[Node, list[tuple[str, str, int]]]:
     """
     root = Node("")
     stack, blocks, held, linked = [root], [], [], 0
+    over: list[tuple[str, bool]] = []  # open elements below the limit, and whether each is dropped
+    among, hidden = Counter(), 0  # their tags, and how many are dropped
     page, at = page or "", 0
 
     def flush() -> None:
@@ -86,7 +93,7 @@ def parse(page: str | None) -> tuple[Node, list[tuple[str, str, int]]]:
         raw = "".join(held)
         held.clear()
         text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
-        if text:
+        if text and not hidden:
             leaf = Node("#", text=text)
             stack[-1].kids.append(leaf)
             blocks.append(("/".join(n.label for n in stack[1:]), text, linked))
@@ -120,20 +127,41 @@ def parse(page: str | None) -> tuple[Node, list[tuple[str, str, int]]]:
                 held.append(" ")
             continue
         flush()
+        if closing and over:
+            if not among[tag] and not any(n.label.partition(".")[0] == tag for n in stack[1:]):
+                continue  # it ends nothing
+            below = among[tag] > 0
+            while over:
+                last, out = over.pop()
+                among[last] -= 1
+                hidden -= out
+                if below and last == tag:
+                    break
+            if below:
+                continue
         if closing:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].label.partition(".")[0] == tag:
                     del stack[k:]
                     break
             continue
+        label = tag
+        if m.group(4):
+            named = ".".join(sorted({w.lower() for c in CLASS.findall(m.group(4)) for w in (c[1] or c[2] or c[3]).split() if not any(ch.isdigit() for ch in w)}))
+            label = f"{tag}.{named}" if named else tag
+        if len(stack) > DEPTH:
+            if tag not in VOID:
+                over.append((tag, dropped(label)))
+                among[tag] += 1
+                hidden += over[-1][1]
+            continue
         ends = CLOSES.get(tag, ())
         top = stack[-1].label.partition(".")[0]
         if (tag in BLOCKS_END_P and top == "p") or top in ends:
             stack.pop()
             if ends and stack[-1].label.partition(".")[0] in ends:
                 stack.pop()
-        named = ".".join(sorted({w.lower() for c in CLASS.findall(m.group(4) or "") for w in (c[1] or c[2] or c[3]).split() if not any(ch.isdigit() for ch in w)})) if m.group(4) else ""
-        node = Node(f"{tag}.{named}" if named else tag)
+        node = Node(label)
         stack[-1].kids.append(node)
         if tag not in VOID:
             stack.append(node)
@@ -219,6 +247,7 @@ def expression(node: Node) -> str:
     return f"<{node.label}>({inner}){node.quant}" if node.label else inner
 
 
+@lru_cache(maxsize=10_000)
 def dropped(label: str) -> bool:
     tag, _, named = label.partition(".")
     return tag in DROPPED or bool(named and DROPPED_WORDS.search(named.replace(".", " ")))
