@@ -58,8 +58,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the mix as blocks; per document what was read back from them."""
-    blocks, freq = write_blocks(docs, tokenizer_path())
-    return read_blocks(blocks, freq)
+    return read_blocks(*write_blocks(docs, tokenizer_path()))
 
 
 STAGES = [
