@@ -19,6 +19,11 @@ def _n(cond: Column) -> Column:
     return F.count(F.when(cond, 1))
 
 
+def _dated() -> Column:
+    """The place of a line with a date: first and last are by arrival."""
+    return F.when(F.col("ts").isNotNull(), F.col("ord"))
+
+
 def levels(a: Analysis) -> DataFrame:
     """level, count for all eight levels."""
     every = a.lines.sparkSession.range(8).select(F.col("id").cast("tinyint").alias("level"))
@@ -87,6 +92,7 @@ def deprecations(a: Analysis) -> DataFrame:
     keys = ["signature", "origin_key"]
     g = d.groupBy(*keys).agg(
         F.count("*").alias("count"), F.min_by("channel", "ord").alias("channel"), F.max_by("message", "ord").alias("message"),
+        F.min_by("ts_ms", _dated()).alias("first_ms"), F.max_by("ts_ms", _dated()).alias("last_ms"),
         F.max_by("depr.origin", F.when(F.col("depr.origin").isNotNull(), F.col("ord"))).alias("origin"), F.max_by("subject.name", F.when(F.col("subject").isNotNull(), F.col("ord"))).alias("endpoint"),
     )
     return g.withColumn("message", F.substring_index("message", "\n", 1)).join(subjects(d, keys), keys, "left")
@@ -139,8 +145,8 @@ def repetition(a: Analysis, what: str) -> DataFrame:
 
 def outbound(a: Analysis) -> DataFrame:
     """A11 with A12: one row an outbound shape."""
-    c = a.lines.where("http is not null").select("http.*", "ts_ms", "ord")
-    g = c.groupBy("shape").agg(F.count("*").alias("calls"), F.count("ms").alias("timed"), F.sum("ms").alias("sum_ms"), F.max(F.col("ms").cast("float")).alias("max_ms"), F.count("status").alias("responses"), _n((F.col("status") >= 400) & (F.col("status") < 500)).alias("status_4xx"), _n(F.col("status") >= 500).alias("status_5xx"))
+    c = a.lines.where("http is not null").select("http.*", "ts", "ts_ms", "ord")
+    g = c.groupBy("shape").agg(F.count("*").alias("calls"), F.max_by("ts_ms", _dated()).alias("last_ms"), F.count("ms").alias("timed"), F.sum("ms").alias("sum_ms"), F.max(F.col("ms").cast("float")).alias("max_ms"), F.count("status").alias("responses"), _n((F.col("status") >= 400) & (F.col("status") < 500)).alias("status_4xx"), _n(F.col("status") >= 500).alias("status_5xx"))
     g = g.join(quantiles(c.where("ms is not null"), ["shape"]), "shape", "left").join(repetition(a, "call"), "shape", "left")
     return g.withColumn("avg_ms", F.try_divide("sum_ms", "timed"))
 
@@ -150,15 +156,15 @@ def commands(a: Analysis) -> DataFrame:
     c = a.enriched.where("cmd is not null").withColumns({"name": F.col("cmd.name"), "code": F.col("cmd.code")})
     took = F.when(F.col("code").isNotNull() & (F.col("ts_ms") > F.col("run_first_ms")), (F.col("ts_ms") - F.col("run_first_ms")).cast("double"))
     c = c.withColumn("ms", took)
-    g = c.groupBy("name").agg(F.count("code").alias("runs"), _n(F.col("code") != 0).alias("failed"), _n(F.col("cmd.threw")).alias("threw"), F.max_by("code", F.when(F.col("code").isNotNull(), F.col("ord"))).alias("last_code"), F.count("ms").alias("timed"), F.sum("ms").alias("sum_ms"), F.max("ms").alias("max_ms"))
-    per = a.runs.where("kind = 'command'").groupBy("name").agg(F.count("*").alias("closed_runs"), F.sum("queries").alias("queries_total"), F.sum("calls").alias("calls_total"))
-    g = g.join(quantiles(c.where("ms is not null"), ["name"]), "name", "left").join(per, "name", "left").na.fill(0, ["closed_runs", "queries_total", "calls_total"])
-    return g.withColumn("failure_rate", F.try_divide("failed", "runs"))
+    g = c.groupBy("name").agg(F.min_by("ts_ms", _dated()).alias("first_ms"), F.max_by("ts_ms", _dated()).alias("last_ms"), F.count("code").alias("runs"), _n(F.col("code") != 0).alias("failed"), _n(F.col("cmd.threw")).alias("threw"), F.max_by("code", F.when(F.col("code").isNotNull(), F.col("ord"))).alias("last_code"), F.count("ms").alias("timed"), F.sum("ms").alias("sum_ms"), F.max("ms").alias("max_ms"))
+    per = a.runs.where("kind = 'command'").groupBy("name").agg(F.count("*").alias("closed_runs"), F.sum("queries").alias("queries_total"), F.max("queries").alias("queries_max"), F.sum("calls").alias("calls_total"), F.max("calls").alias("calls_max"))
+    g = g.join(quantiles(c.where("ms is not null"), ["name"]), "name", "left").join(per, "name", "left").na.fill(0, ["closed_runs", "queries_total", "queries_max", "calls_total", "calls_max"])
+    return g.withColumns({"failure_rate": F.try_divide("failed", "runs"), "avg_ms": F.try_divide("sum_ms", "timed"), "queries_avg": F.coalesce(F.try_divide("queries_total", "closed_runs"), F.lit(0.0)), "calls_avg": F.coalesce(F.try_divide("calls_total", "closed_runs"), F.lit(0.0))})
 
 
 def cache_keys(a: Analysis) -> DataFrame:
     c = a.lines.where("cache is not null")
-    g = c.groupBy(F.col("cache.key").alias("key")).agg(_n(F.col("cache.event") == "computed").alias("computed"), _n(F.col("cache.event") == "contended").alias("contended"), F.count("*").alias("misses"))
+    g = c.groupBy(F.col("cache.key").alias("key")).agg(_n(F.col("cache.event") == "computed").alias("computed"), _n(F.col("cache.event") == "contended").alias("contended"), F.count("*").alias("misses"), F.max_by("ts_ms", _dated()).alias("last_ms"))
     return g.join(repetition(a, "cache").withColumnRenamed("shape", "key"), "key", "left")
 
 
@@ -172,13 +178,13 @@ def lags(a: Analysis) -> DataFrame:
 
 def messages(a: Analysis) -> DataFrame:
     """The two vocabularies are not added, the larger counts."""
-    m = a.lines.where("msg is not null").select("msg.*")
+    m = a.lines.where("msg is not null").select("msg.*", "ts", "ts_ms", "ord")
     n = lambda event, audited: _n((F.col("event") == event) & (F.col("audited") == audited))
-    g = m.groupBy("class").agg(F.greatest(n("dispatched", False), n("dispatched", True)).alias("dispatched"), F.greatest(n("handled", False), n("handled", True)).alias("handled"), *(_n(F.col("event") == e).alias(e) for e in ("ran", "no_handler", "retried", "failed")))
+    g = m.groupBy("class").agg(F.greatest(n("dispatched", False), n("dispatched", True)).alias("dispatched"), F.greatest(n("handled", False), n("handled", True)).alias("handled"), *(_n(F.col("event") == e).alias(e) for e in ("ran", "no_handler", "retried", "failed")), F.max_by("ts_ms", _dated()).alias("last_ms"))
     lag = lags(a)
     g = g.withColumn("waiting", F.greatest(F.col("dispatched") - F.col("handled"), F.lit(0)))
     stats = lag.groupBy("class").agg(F.count("*").alias("paired"), F.max("ms").alias("max_lag_ms"))
-    return g.join(stats, "class", "left").join(quantiles(lag, ["class"]), "class", "left").na.fill(0, ["paired"])
+    return g.join(stats, "class", "left").join(quantiles(lag, ["class"]), "class", "left").join(repetition(a, "message").withColumnRenamed("shape", "class"), "class", "left").na.fill(0, ["paired"])
 
 
 def message_totals(a: Analysis) -> DataFrame:

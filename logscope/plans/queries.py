@@ -276,7 +276,7 @@ runs AS (SELECT token, run_no, arg_max(own, CASE WHEN own IS NOT NULL THEN event
   count(*) FILTER (kind = 'cache') AS misses FROM x GROUP BY ALL HAVING count(own) > 0),
 sh AS (SELECT x.token, x.run_no, what, shape, count(*) AS n, any_value(runs.name) AS name FROM (
   SELECT token, run_no, kind AS what, CASE kind WHEN 'sql' THEN 'SELECT * FROM t' || (k % 5) || ' WHERE id = ?' WHEN 'http' THEN 'GET api.p' || (k % 3) || '.test/v1/items/#'
-    WHEN 'cache' THEN 'product_#_detail' END AS shape FROM x WHERE kind IN ('sql', 'http', 'cache')) x JOIN runs USING (token, run_no) GROUP BY x.token, x.run_no, what, shape)
+    WHEN 'cache' THEN 'item_#_view' END AS shape FROM x WHERE kind IN ('sql', 'http', 'cache')) x JOIN runs USING (token, run_no) GROUP BY x.token, x.run_no, what, shape)
 """
 
 
@@ -348,7 +348,7 @@ FROM l WHERE kind IN ('sent', 'handled') GROUP BY 1""",
     "outbound_shapes": BASE + ", c AS (SELECT *, 'GET api.p' || (k % 3) || '.test/v1/items/#' AS shape, (value / 1000) * 1000 AS ms FROM l WHERE kind = 'http')," + _hist("c", "shape", "ms") + """
 SELECT shape, count(*) AS calls, count(*) AS timed, count(*) AS responses, count(*) FILTER (code = 404) AS status_4xx, count(*) FILTER (code = 500) AS status_5xx, round(any_value(p95), 4) AS p95, round(CAST(max(CAST(ms AS FLOAT)) AS DOUBLE), 4) AS max_ms, round(avg(ms), 4) AS avg_ms FROM c JOIN q ON shape = key GROUP BY shape""",
     "cache_misses": BASE + """, a AS (SELECT shape, count(*) AS runs, max(n) AS max_per_run FROM sh WHERE what = 'cache' GROUP BY shape), w AS (SELECT shape, name FROM (SELECT *, row_number() OVER (PARTITION BY shape ORDER BY n DESC, name) AS r FROM sh WHERE what = 'cache') WHERE r = 1)
-SELECT 'product_#_detail' AS key, count(*) AS computed, CAST(0 AS BIGINT) AS contended, count(*) AS misses, (SELECT runs FROM a) AS runs, (SELECT max_per_run FROM a) AS max_per_run, (SELECT name FROM w) AS worst_subject FROM l WHERE kind = 'cache' HAVING count(*) > 0""",
+SELECT 'item_#_view' AS key, count(*) AS computed, CAST(0 AS BIGINT) AS contended, count(*) AS misses, (SELECT runs FROM a) AS runs, (SELECT max_per_run FROM a) AS max_per_run, (SELECT name FROM w) AS worst_subject FROM l WHERE kind = 'cache' HAVING count(*) > 0""",
     "worst_subject": BASE + """SELECT shape, count(*) AS runs, CAST(sum(n) AS BIGINT) AS in_runs, max(n) AS max_per_run, arg_min(name, row(-n, name)) AS worst_subject FROM sh WHERE what = 'http' GROUP BY shape""",
     "commands": BASE + """, c AS (SELECT own AS name, k % 2 AS code, CASE WHEN ts_ms > run_first THEN CAST(ts_ms - run_first AS DOUBLE) END AS ms, event_id FROM x WHERE kind = 'command'),
 p AS (SELECT name, count(*) AS closed_runs, CAST(sum(queries) AS BIGINT) AS queries_total FROM runs WHERE run_kind = 'command' GROUP BY name)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gzip
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,16 +29,40 @@ def unreadable(spark: SparkSession, paths: list[str]) -> list[str]:
     return bad
 
 
+def is_gzip(path: str) -> bool:
+    """Whether a file on this machine begins as gzip does, whatever its name."""
+    try:
+        with open(path.removeprefix("file://"), "rb") as f:
+            return f.read(2) == b"\x1f\x8b"
+    except OSError:
+        return path.endswith(".gz")
+
+
+def unpacked(content: bytes) -> bytes:
+    """What can be unpacked of gzip members; a cut or broken archive gives what comes before."""
+    out = []
+    while content[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(wbits=31)
+        try:
+            for at in range(0, len(content), 1 << 16):
+                out.append(member.decompress(content[at : at + (1 << 16)]))
+                if member.eof:
+                    content = member.unused_data + content[at + (1 << 16) :]
+                    break
+            else:
+                break
+        except zlib.error:
+            break
+    return b"".join(out)
+
+
 def _gzip_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines of whole files: unpacked if the first two bytes say gzip, whatever the name."""
     for b in batches:
         for source, content in zip(*b.columns, strict=True):
             data = content.as_py()
             if data[:2] == b"\x1f\x8b":
-                try:
-                    data = gzip.decompress(data)
-                except (EOFError, OSError):
-                    data = b""
+                data = unpacked(data)
             lines = data.split(b"\n")
             if lines and not lines[-1]:
                 lines.pop()

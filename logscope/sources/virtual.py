@@ -29,7 +29,7 @@ def virtual_log(events: DataFrame) -> DataFrame:
     message = choose(
         route=text('Matched route "r', (F.col("user_id") % 8).cast("string"), '".'),
         sql="Executing statement",
-        cache=text('Lock acquired, now computing item "product_', s("k"), '_detail"'),
+        cache=text('Lock acquired, now computing item "item_', s("k"), '_view"'),
         http=text('Response: "200 ', url, '" 0.5 seconds'),
         sent=text("Sending message App\\Message\\M", k4, " with async sender"),
         handled=text("App\\Message\\M", k4, " was handled successfully (acknowledging to transport)."),
