@@ -200,12 +200,14 @@ def find(docs: DataFrame, sure: float = SURE, support: int = SUPPORT, rounds: in
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spanned = lambda rows: [[dict(zip(("kind", "start", "end"), x, strict=True)) for x in s] for s in rows]
         for b in batches:
-            texts = [t.as_py() or "" for t in b.column(2)]
-            like = [bool(_LIKE.search(t)) for t in texts]
-            base = [base_spans(t) for t in texts]
-            more = [secrets(t, s) if ok else [] for t, s, ok in zip(texts, base, like, strict=True)]
-            found = [[dict(zip(("kind", "start", "end", "instance", "context"), o, strict=True)) for o in occurrences(t, [*s, *m])] if ok else [] for t, s, m, ok in zip(texts, base, more, like, strict=True)]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(spanned(base), pa.list_(span)), pa.array(spanned(more), pa.list_(span)), pa.array(found, pa.list_(occurrence))], names=["id", "row", "base", "secrets", "found"])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                texts = [t.as_py() or "" for t in part.column(2)]
+                like = [bool(_LIKE.search(t)) for t in texts]
+                base = [base_spans(t) for t in texts]
+                more = [secrets(t, s) if ok else [] for t, s, ok in zip(texts, base, like, strict=True)]
+                found = [[dict(zip(("kind", "start", "end", "instance", "context"), o, strict=True)) for o in occurrences(t, [*s, *m])] if ok else [] for t, s, m, ok in zip(texts, base, more, like, strict=True)]
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(spanned(base), pa.list_(span)), pa.array(spanned(more), pa.list_(span)), pa.array(found, pa.list_(occurrence))], names=["id", "row", "base", "secrets", "found"])
 
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     occurrence = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("context", pa.string())])
