@@ -13,7 +13,7 @@ from logscope.llm.queries import tokenizer_path
 
 def test_every_checkpoint_decodes_its_stretch():
     rng = np.random.default_rng(3)
-    ids = rng.zipf(1.3, 200_000).clip(max=999).astype(np.uint32)
+    ids = rng.zipf(1.3, 700_000).clip(max=999).astype(np.uint32)
     t = op6.Table(op6.frequencies(np.bincount(ids, minlength=1000)))
     blob = op6.pack([1], [len(ids)], ids, t)
     block = op6.Block(blob, t)
