@@ -229,7 +229,8 @@ def test_reordered_passages_are_caught(spark):
 
 
 def greedy(doc, item, least):
-    """Tiles by looking at every place."""
+    """Words that tiles cover, by looking at every place: the longest first, then the first of
+    the item, then of the document."""
     used_d, used_i, total = set(), set(), 0
     while True:
         best = (0, 0, 0)
@@ -238,10 +239,10 @@ def greedy(doc, item, least):
                 n = 0
                 while a + n < len(doc) and b + n < len(item) and doc[a + n] == item[b + n] and a + n not in used_d and b + n not in used_i:
                     n += 1
-                best = max(best, (n, -a, -b))
+                best = max(best, (n, -b, -a))
         if best[0] < least:
             return total
-        n, a, b = best[0], -best[1], -best[2]
+        n, b, a = best[0], -best[1], -best[2]
         used_d |= set(range(a, a + n))
         used_i |= set(range(b, b + n))
         total += n
@@ -260,8 +261,7 @@ def test_tiles_cover_what_greedy_tiling_covers():
         if tiles:
             longest = max(t[2] for t in tiles)
             assert longest == max(n for a in range(40) for b in range(25) for n in [next((k for k in range(26) if a + k >= 40 or b + k >= 25 or doc[a + k] != item[b + k]), 0)])
-        else:
-            assert greedy(doc.tolist(), item.tolist(), 3) == 0
+        assert sum(t[2] for t in tiles) == greedy(doc.tolist(), item.tolist(), 3)
 
 
 # 7
