@@ -69,8 +69,8 @@ STAGES = [
     ("token_ids", token_ids),
 ]
 
-#: Models, signatures and tokens aren't SQL; the tests hold the pipeline against a
-#: brute-force version.
+#: Models, signatures and tokens aren't SQL; tests/llm/test_pipeline.py holds each stage against
+#: a brute-force version on its own input, and run() against the tokenizer's ids.
 ORACLE_SQL = None
 
 
