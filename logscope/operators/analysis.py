@@ -97,7 +97,7 @@ class Analysis:
             inside = inside & (F.col("ts_ms") <= o.until_ms)
         self.inside = inside
 
-    def _keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame) -> DataFrame:
         """Write what several tables read."""
         self._kept.append(table(df, "kept"))
         return self._kept[-1]
@@ -166,7 +166,7 @@ class Analysis:
         d = d.withColumn("claimed", claimed).drop("_claim")
         alone = self.lines.where("token is null").withColumns({"run_no": F.lit(None).cast("long"), "subject": F.col("own"), "run_first_ms": F.lit(None).cast("long"), "claimed": F.lit(None).cast("string")})
         d = d.unionByName(alone)
-        return self._keep(d.withColumn("endpoint", F.when(F.col("subject.kind") == "endpoint", F.col("subject.name"))))
+        return self.keep(d.withColumn("endpoint", F.when(F.col("subject.kind") == "endpoint", F.col("subject.name"))))
 
     @cached_property
     def first_matched(self) -> int | None:

@@ -36,11 +36,14 @@ def assemble(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     before = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     lasts = lasts.withColumn("_before", F.max("_last").over(before)).select("source", "_block", "_before")
     cut = cut.join(lasts, ["source", "_block"]).withColumn("_head", F.coalesce("_head", "_before"))
-    more = cut.where(~head).select("source", "ord", "_head", "_raw")
+    more = cut.where(~head).select("source", "ord", "_head", "_block", "_raw")
     skipped = more.where(F.col("_head").isNull() & (F.trim("_raw") != "")).select("source", "ord")
     size = F.octet_length("_raw") + 1
-    prior = Window.partitionBy("source", "_head").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    more = more.where(F.col("_head").isNotNull()).withColumn("_bytes", F.coalesce(F.sum(size).over(prior), F.lit(0)))
+    # a line with that many bytes before it in its own block is over the ceiling whatever comes
+    # before, so an entry of any length leaves few lines a block for the sum across blocks
+    before = lambda *by: F.coalesce(F.sum(size).over(Window.partitionBy("source", "_head", *by).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    more = more.where(F.col("_head").isNotNull()).withColumn("_bytes", before("_block")).where(F.col("_bytes") < MESSAGE)
+    more = more.withColumn("_bytes", before())
     gathered = more.where(F.col("_bytes") < MESSAGE).groupBy("source", F.col("_head").alias("ord")).agg(F.array_sort(F.collect_list(F.struct("ord", "_bytes", "_raw"))).alias("_more"))
     heads = cut.where(head).drop("_block", "_head", "_before", "_raw")
     with_more = heads.join(gathered, ["source", "ord"], "left")

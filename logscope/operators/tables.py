@@ -46,7 +46,7 @@ def totals(a: Analysis) -> DataFrame:
     d = a.lines.agg(
         F.count("*").alias("entries"), _n(F.col("is_error")).alias("errors"), _n(F.col("is_error") & F.col("off_request")).alias("errors_off_request"),
         _n(request).alias("requests"), F.count("duration_ms").alias("timed"), F.count("depr").alias("deprecations"),
-        F.count("cmd").alias("command_lines"), F.count("cache").alias("cache_misses"), F.count("msg").alias("messenger_lines"),
+        F.count("cmd").alias("command_lines"), F.count("cache").alias("cache_misses"), F.count("sql").alias("statements"), F.count("msg").alias("messenger_lines"),
         F.count("http").alias("http_calls"), F.count("http.ms").alias("http_timed"), F.count("status").alias("responses"), _n(F.col("status") >= 500).alias("status_5xx"),
         F.min_by("ts_ms", F.when(F.col("ts").isNotNull(), F.col("ord"))).alias("first_ms"), F.max_by("ts_ms", F.when(F.col("ts").isNotNull(), F.col("ord"))).alias("last_ms"),
     )

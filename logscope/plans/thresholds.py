@@ -64,48 +64,59 @@ def parse_threshold(text: str) -> Threshold:
     return Threshold(text, metric, name, symbol, value / 100 if unit == "%" else value * 1000 if unit == "s" else value)
 
 
-def _measure(a: Analysis, t: Threshold) -> DataFrame:
+class Tables:
+    """The tables that thresholds look into, each made once however many ask for it."""
+
+    def __init__(self, a: Analysis):
+        self.a, self._made = a, {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self.a.keep(getattr(tables, name)(self.a))
+        return self._made[name]
+
+
+def _measure(a: Analysis, made: Tables, t: Threshold) -> DataFrame:
     """measured, culprit: one row at most, none (or null) where there is no population."""
     none = F.lit(None).cast("string").alias("culprit")
     one = lambda df, c: df.select(c.cast("double").alias("measured"), none)
-    total = tables.totals(a)
-    metric = t.metric
+    total, metric = made.totals, t.metric
     if metric in ("p50", "p95", "p99", "max"):
-        e, column = tables.endpoints(a), "max_ms" if metric == "max" else metric
+        e, column = made.endpoints, "max_ms" if metric == "max" else metric
         if t.name:
             return one(e.where(F.col("endpoint") == t.name), F.coalesce(column, F.lit(0.0)))
         return e.where("timed > 0").orderBy(F.desc(column), "endpoint").limit(1).select(F.col(column).cast("double").alias("measured"), F.col("endpoint").alias("culprit"))
     if metric.startswith("http-client-"):
         column = metric.removeprefix("http-client-").replace("max", "max_ms")
-        return tables.outbound(a).where("timed > 0").orderBy(F.desc(column), "shape").limit(1).select(F.col(column).cast("double").alias("measured"), F.col("shape").alias("culprit"))
+        return made.outbound.where("timed > 0").orderBy(F.desc(column), "shape").limit(1).select(F.col(column).cast("double").alias("measured"), F.col("shape").alias("culprit"))
     if metric == "5xx-rate" and t.name:
-        return one(tables.endpoints(a).where(F.col("endpoint") == t.name), F.col("rate_5xx"))
+        return one(made.endpoints.where(F.col("endpoint") == t.name), F.col("rate_5xx"))
     if metric == "nplus1":
-        found = tables.nplus1(a)
+        found = made.nplus1
         if t.name:
-            known = tables.endpoints(a).where(F.col("endpoint") == t.name).select(F.col("endpoint").alias("subject"))
+            known = made.endpoints.where(F.col("endpoint") == t.name).select(F.col("endpoint").alias("subject"))
             return one(known.join(found.groupBy("subject").count(), "subject", "left"), F.coalesce("count", F.lit(0)))
-        any_sql = a.lines.agg(F.count("sql").alias("read")).where("read > 0").withColumn("k", F.lit(1))
-        return one(any_sql.join(found.agg(F.count("*").alias("n")).withColumn("k", F.lit(1)), "k"), F.col("n"))
+        any_sql = total.where("statements > 0").withColumn("k", F.lit(1))
+        return one(any_sql.select("k").join(found.agg(F.count("*").alias("n")).withColumn("k", F.lit(1)), "k"), F.col("n"))
     if metric == "commands-failed":
-        c = tables.commands(a)
+        c = made.commands
         c = c.where(F.col("name") == t.name) if t.name else c
         return one(c.agg(F.sum("failed").alias("n")), F.col("n"))
     if metric in ("messages-waiting", "messages-failed"):
-        seen = a.lines.agg(F.count("msg").alias("read")).where("read > 0").withColumn("k", F.lit(1))
-        return one(seen.join(tables.message_totals(a).withColumn("k", F.lit(1)), "k"), F.col(metric.removeprefix("messages-")))
+        seen = total.where("messenger_lines > 0").withColumn("k", F.lit(1))
+        return one(seen.select("k").join(made.message_totals.withColumn("k", F.lit(1)), "k"), F.col(metric.removeprefix("messages-")))
     scalar = {"error-rate": F.when(F.col("entries") > 0, F.col("error_rate")), "request-error-rate": F.col("request_error_rate"), "5xx-rate": F.col("rate_5xx"), "errors": F.col("errors"), "deprecations": F.col("deprecations"), "entries": F.col("entries")}
     return one(total, scalar[metric])
 
 
 def evaluate(a: Analysis, texts: list[str]) -> DataFrame:
     """threshold, measured, culprit, breached; no population is no row."""
-    out = None
+    out, made = None, Tables(a)
     for text in texts:
         t = parse_threshold(text)
         m = F.col("measured")
         crossed = {">": m > t.value, ">=": m >= t.value, "<": m < t.value, "<=": m <= t.value}[t.symbol]
-        row = _measure(a, t).where("measured is not null").select(F.lit(text).alias("threshold"), "measured", "culprit", crossed.alias("breached"))
+        row = _measure(a, made, t).where("measured is not null").select(F.lit(text).alias("threshold"), "measured", "culprit", crossed.alias("breached"))
         out = row if out is None else out.unionByName(row)
     return out
 

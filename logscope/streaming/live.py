@@ -33,7 +33,7 @@ class Live(Analysis):
             raise ValueError("a stream needs duration_key, and correlate_key unless correlate is off")
         super().__init__(entries, options, launched_ms)
 
-    def _keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame) -> DataFrame:
         return df
 
     @property
