@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from logscope.functions import classify, fields
 from logscope.functions.levels import is_error
 from logscope.functions.text import signature
-from logscope.sources.store import drop, table
+from logscope.sources.store import drop, settings, table
 
 
 @dataclass(frozen=True)
@@ -71,8 +71,14 @@ class Lines:
 
     @cached_property
     def typed(self) -> DataFrame:
-        """The typed lines, written: every table reads the columns it needs of them."""
-        return table(self.plan, "typed")
+        """The typed lines, written: every table reads the columns it needs of them.
+
+        Fused into one stage, these long projections are methods beyond the size that the JVM
+        compiles; as projections of their own they are split into short ones (measured at
+        100,000 lines: 7.5 s instead of 9.9, and 20 instead of 25 with planning).
+        """
+        with settings(self.entries.sparkSession, spark__sql__codegen__wholeStage="false"):
+            return table(self.plan, "typed")
 
     def close(self) -> None:
         if "typed" in self.__dict__:
