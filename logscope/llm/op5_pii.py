@@ -42,6 +42,8 @@ SECRET = "secret"
 _ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:api|access|auth|client|private|secret)?[_-]?(?:key|token|secret|passw(?:or)?d|pwd|credential)s?[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9_+/=.-]{16,})")
 _SELF_NAMED = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)(?![A-Za-z0-9])")
 ROUNDS, SURE, SUPPORT = 3, 0.8, 3
+#: Parts into which the rows of one text are dealt where they meet what was added to it.
+SALTS = 32
 
 # Fixed patterns; possessive where a retry could not match, so long runs stay linear.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -235,7 +237,10 @@ def find(docs: DataFrame, sure: float = SURE, support: int = SUPPORT, rounds: in
     added = added.groupBy("row").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
 
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    of = read.drop("found").join(added.hint("merge"), "row", "left").withColumn("added", F.coalesce("added", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")))
+    # a text may be that of a third of all rows: its rows are dealt, and what was added repeated
+    dealt = read.drop("found").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    added = added.withColumn("salt", F.explode(F.array(*(F.lit(k).cast("long") for k in range(SALTS)))))
+    of = dealt.join(added.hint("merge"), ["row", "salt"], "left").withColumn("added", F.coalesce("added", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")))
     method = F.concat("secrets", "added")
     n_secret = F.size(F.filter(method, lambda s: s["kind"] == SECRET)).cast("long").alias("n_secret")
     return of.select(F.col("id").alias(id_col), *map(count, KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", method)).alias("spans"), n_secret, F.size(method).cast("long").alias("n_added"))
