@@ -14,6 +14,7 @@ from logscope.llm.op3_language import fit_letters, identify
 from logscope.llm.op4_mixing import mix
 from logscope.llm.op5_pii import find
 from logscope.llm.op10_top_k import top_k
+from logscope.llm.op12_pieces import round_trip
 from logscope.llm.op6_rans import read_blocks, write_blocks
 from logscope.llm.op7_wrappers import extract
 from logscope.llm.op8_near_dup import near_duplicates
@@ -70,6 +71,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"))
 
 
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -82,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dup": op8_near_dup,
         "op9_token_counts": op9_token_counts,
         "op10_top_k": op10_top_k,
+        "op12_pieces": op12_pieces,
     }
 
 
