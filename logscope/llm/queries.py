@@ -14,7 +14,9 @@ from logscope.llm.op3_language import fit_letters, identify
 from logscope.llm.op4_mixing import mix
 from logscope.llm.op5_pii import find
 from logscope.llm.op10_top_k import top_k
+from logscope.llm.op11_alignment import align
 from logscope.llm.op12_pieces import round_trip
+from logscope.llm.op13_whitening import whiten
 from logscope.llm.op6_rans import read_blocks, write_blocks
 from logscope.llm.op7_wrappers import extract
 from logscope.llm.op8_near_dup import near_duplicates
@@ -71,10 +73,18 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -87,7 +97,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dup": op8_near_dup,
         "op9_token_counts": op9_token_counts,
         "op10_top_k": op10_top_k,
+        "op11_alignment": op11_alignment,
         "op12_pieces": op12_pieces,
+        "op13_whitening": op13_whitening,
     }
 
 
