@@ -4,14 +4,15 @@ Only tokenising is Python (``tokenised``, one Arrow pass): ids and byte ends of
 every text.  All that follows is higher-order functions over those arrays and joins:
 
 * ``array_intersect`` of the ends gives the places where both sides end: they cut groups.
-* ``flatten`` of ``array_repeat`` names for each byte the token that covers it.  A group is the
-  slice of tokens between two cuts, and a token's links are the ``sequence`` of the other side's
-  tokens from the one over its first byte to the one over its last, by ``transform``: the steps
-  grow with bytes and links, however long a group is.
-* ``aggregate`` sums what words count; an id pair's count is the number of texts that hold it.
+* ``flatten`` of ``array_repeat`` names for each byte the token that covers it.  A group, by the
+  ``sequence`` of cuts, is the slice of tokens between two of them.  Each end of either side closes a stretch of bytes that one
+  token of each side covers, so ``transform`` over all ends, each once, gives the links of all
+  tokens that overlap: the steps grow with bytes and tokens, however long a group is.
+* ``aggregate`` counts a text's groups; an id pair's count is the number of texts that hold it.
 
-Both sides cut texts before white space, so words are aligned each by itself: the different words
-of a block of texts once, and a text is a ``transform`` of its words' numbers.
+Neither side joins anything across the border before white space (proven when the files are
+opened), so words are aligned by themselves: the different words of a block of texts once, laid end
+to end, and a text is a ``transform`` of its words' numbers.
 
 A text without tokens (null, empty, or one whose joined bytes on a side aren't the text's own,
 such as with a U+2581 of its own) counts zeros and has an empty digest.  Ids of rows may be null
@@ -25,25 +26,27 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logscope.llm.common import table
-from logscope.llm.op12_pieces import BLANK, MAX_KEPT, Agenda
+from logscope.llm.op12_pieces import BLANK, MAX_KEPT, SPACE, Agenda
 from logscope.llm.pieces import byte_letters
 
 #: Words remembered per Python worker.
-MAX_WORDS = 500_000
+MAX_WORDS = 400_000
 #: Pairs with the highest counts, which are broadcast: 24 bytes each, so some 5 MB at most.
 HEAD = 200_000
 #: Characters of the texts whose different words are aligned together.
-BLOCK = 8_000_000
+BLOCK = 4_000_000
 
 
 class Both:
@@ -84,43 +87,41 @@ class Both:
         of_a, of_b = [self.a_bytes[i] for i in a], [self.b.bytes[i] for i in b]
         if b"".join(of_a) != raw or None in of_b or b"".join(of_b) != raw:
             return None
-        return tuple(np.array(x, np.intc).tobytes() for x in (a, list(map(len, of_a)), b, list(map(len, of_b))))
+        return array("i", a).tobytes(), array("i", map(len, of_a)).tobytes(), array("i", b).tobytes(), array("i", map(len, of_b)).tobytes()
 
     def learn(self, words: list[str]) -> None:
-        """Both sides of new words: the byte side by its library, the other by its agenda, which
-        checks itself against its library."""
-        by_a = self.a.encode_batch_fast(words, add_special_tokens=False)
-        pieces = [w.replace(" ", "▁") for w in words]
-        by_b = self.b.learn(dict.fromkeys(pieces))
-        for w, a, p in zip(words, by_a, pieces, strict=True):
-            self.words[w] = self._packed(w.encode(), a.ids, by_b[p])
+        """Both sides of new words, by their libraries.
 
-    def block(self, texts: list[str | None]) -> tuple[list[tuple[bytes, bytes, bytes, bytes]], list[list[int]]]:
+        The second one puts a space before what it is given: a word that begins with one goes
+        without it, of any other the ids after the space's own are kept.
+        """
+        by_a = self.a.encode_batch_fast(words, add_special_tokens=False)
+        by_b = self.b.lib.encode([w[1:] if w[0] == " " else w for w in words], num_threads=1)
+        alone = [self.b.id[SPACE]]
+        for w, a, b in zip(words, by_a, by_b, strict=True):
+            if w[0] != " ":
+                b = b[1:]
+            elif len(w) == 1:
+                b = alone
+            self.words[w] = self._packed(w.encode(), a.ids, b)
+
+    def block(self, texts: list[str | None]) -> tuple[list[tuple[bytes, bytes, bytes, bytes]], list[list[int] | None]]:
         """The different words of some texts, and each text as numbers of words (none: no tokens)."""
-        cut = [self.cut(t) if t and "▁" not in t else [] for t in texts]
+        cut = [self.cut(t) if t and SPACE not in t else [] for t in texts]
         if len(self.words) > MAX_WORDS:
             self.words.clear()
         here = dict.fromkeys(chain.from_iterable(cut))
         new = [w for w in here if w not in self.words]
         self.learn(new)
-        words = [self.words[w] for w in here]
-        number = {w: k for k, w in enumerate(here)}
-        doubted = {p.replace("▁", " ") for p in self.b.doubted}
-        bad = {w for w, got in zip(here, words, strict=True) if got is None}
-        numbers = []
-        for text, own in zip(texts, cut, strict=True):
-            if doubted and not doubted.isdisjoint(own):
-                whole = self._packed((" " + text).encode(), self.a.encode(" " + text, add_special_tokens=False).ids, self.b.lib.encode(text))
-                numbers.append([len(words)] if whole else [])
-                words += [whole] if whole else []
-            elif bad and not bad.isdisjoint(own):
-                numbers.append([])
-            else:
-                numbers.append(list(map(number.__getitem__, own)))
+        bad = {w for w in here if self.words[w] is None}
+        good = [w for w in here if w not in bad]
+        number = {w: k for k, w in enumerate(good)}
+        numbers = [[] if bad and not bad.isdisjoint(own) else list(map(number.__getitem__, own)) for own in cut]
+        words = [self.words[w] for w in good]
         for w in new:
             if len(w) > MAX_KEPT:
                 del self.words[w]
-        return [w or (b"",) * 4 for w in words], numbers
+        return words, numbers
 
 
 @lru_cache(maxsize=2)
@@ -128,36 +129,27 @@ def both(byte_file: str, piece_file: str) -> Both:
     return Both(byte_file, piece_file)
 
 
-def _lists(parts: list[bytes], ends: bool) -> pa.ListArray:
-    """Lists of integers, summed up within each list for ``ends``."""
-    sizes = np.array([len(p) // 4 for p in parts], np.int64)
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    flat = np.frombuffer(b"".join(parts), np.intc)
-    if ends:
-        total = np.concatenate([[0], np.cumsum(flat, dtype=np.int64)])
-        flat = (total[1:] - np.repeat(total[offsets[:-1]], sizes)).astype(np.intc)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
-
-
 def _one(items: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)
 
 
-def _blocks(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of up to ``most`` characters; a longer text is one alone."""
+def _slices(b: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices whose texts have up to ``most`` characters; a longer text is one alone."""
+    sizes = pc.fill_null(pc.utf8_length(b.column(2)), 0).to_pylist()
     start = held = 0
-    for i, t in enumerate(texts):
-        if held and held + len(t or "") > most:
-            yield start, i
+    for i, n in enumerate(sizes):
+        if i > start and held + n > most:
+            yield b.slice(start, i - start)
             start, held = i, 0
-        held += len(t or "")
-    if start < len(texts):
-        yield start, len(texts)
+        held += n
+    if start < b.num_rows:
+        yield b.slice(start)
 
 
 def tokenised(docs: DataFrame, byte_file: str, piece_file: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row for each block of texts: ``words`` (a, a_ends, b, b_ends: ids of both sides and
-    where each token ends in the word, in bytes) and ``docs`` (row, id, words: their numbers).
+    """One row for each block of texts, of its different words laid end to end: a, b (the ids of
+    both sides), a_ends, b_ends, word_ends (where each token and word ends, in bytes), and docs
+    (row, id, n_a, n_b, words: each text's words by number).
 
     ``byte_file`` is a byte-level vocabulary, which reads a space and the text, ``piece_file`` a
     merge-type one, which adds that space itself.
@@ -165,79 +157,77 @@ def tokenised(docs: DataFrame, byte_file: str, piece_file: str, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = both(byte_file, piece_file)
+        ints = lambda x: pa.array(x.astype(np.intc))
         for b in batches:
-            texts = b.column(2).to_pylist()
-            for start, stop in _blocks(texts, block):
-                words, numbers = code.block(texts[start:stop])
-                sides = [_lists([w[k] for w in words], k % 2 == 1) for k in range(4)]
+            for part in _slices(b, block):
+                words, numbers = code.block(part.column(2).to_pylist())
+                a, a_len, p, p_len = (np.frombuffer(b"".join([w[k] for w in words]), np.intc) for k in range(4))
+                n_a, n_p = (np.array([len(w[k]) // 4 for w in words], np.int64) for k in (0, 2))
+                own = [np.array(x, np.int64) for x in numbers]
                 of = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, numbers)]), pa.int32()), pa.array(np.fromiter(chain.from_iterable(numbers), np.intc)))
-                rows = [b.column(k).slice(start, stop - start) for k in (0, 1)]
-                yield pa.record_batch([
-                    _one(pa.StructArray.from_arrays(sides, ["a", "a_ends", "b", "b_ends"])), _one(pa.StructArray.from_arrays([*rows, of], ["row", "id", "words"])),
-                ], names=["words", "docs"])
+                docs = pa.StructArray.from_arrays([part.column(0), part.column(1), *(pa.array([int(n[x].sum()) for x in own], pa.int64()) for n in (n_a, n_p)), of], ["row", "id", "n_a", "n_b", "words"])
+                a_ends, ends = np.cumsum(a_len), np.concatenate([[0], np.cumsum(n_a)])[1:] - 1
+                columns = [pa.array(a), pa.array(p), ints(a_ends), ints(np.cumsum(p_len)), ints(a_ends[ends]), docs]
+                yield pa.record_batch(list(map(_one, columns)), names=["a", "b", "a_ends", "b_ends", "word_ends", "docs"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"words array<struct<a: array<int>, a_ends: array<int>, b: array<int>, b_ends: array<int>>>, docs array<struct<row: bigint, id: {kind}, words: array<int>>>")
-
+    return rows.mapInArrow(run, f"a array<int>, b array<int>, a_ends array<int>, b_ends array<int>, word_ends array<int>, docs array<struct<row: bigint, id: {kind}, n_a: bigint, n_b: bigint, words: array<int>>>")
 
-def _cover(ends: Column) -> Column:
-    """For each byte the number (from 0) of the token that covers it."""
-    return F.flatten(F.transform(ends, lambda e, i: F.array_repeat(i, e - F.coalesce(F.get(ends, i - 1), F.lit(0)))))
 
+def _start(ends: str | Column, k: Column) -> Column:
+    """Where the stretch begins that the k-th end (from 0) closes."""
+    return F.when(k == 0, 0).otherwise(F.get(ends, k - 1))
 
-def _between(texts: Column, cover: Column, after: Column, end: Column) -> Column:
-    """The ids of the tokens between two ends, joined by commas."""
-    first = F.get(cover, after)
-    return F.array_join(F.slice(texts, first + 1, F.get(cover, end - 1) - first + 1), ",")
 
-
-def _pair(a: Column, b: Column) -> Column:
-    """A link: the first side's id above the second's."""
-    return F.shiftleft(a.cast("long"), 32) + b
+def _cover(ends: str) -> Column:
+    """For each byte the number (from 0) of the stretch that covers it."""
+    return F.flatten(F.transform(ends, lambda e, k: F.array_repeat(k, e - _start(ends, k))))
 
 
 def aligned(blocks: DataFrame) -> DataFrame:
     """row, id, n_a, n_b, n_groups, groups, links of each text of ``tokenised`` blocks.
 
-    ``groups`` is ``a1,a2|b1;a3|b2,b3``: the ids of both sides between two common ends.  There is
-    a link (a long) for each pair of tokens that overlap.  Each different word of a block is
-    aligned once; where all of its ends are common, its tokens pair off one by one.
+    ``groups`` is ``a1,a2|b1;a3|b2,b3``: the ids of both sides between two common ends.  A link
+    is a long, the first side's id above the second's.  Each different word of a block is
+    aligned once.  (Every array that a lambda reads is named twice or more in its projection,
+    as the optimizer would put what is named once into the lambda, to be made again and again.)
     """
-    text = lambda ids: ids.cast("array<string>")
-    common = blocks.select("docs", F.transform("words", lambda w: F.struct(
-        w["a"].alias("a"), w["b"].alias("b"), w["a_ends"].alias("a_ends"), w["b_ends"].alias("b_ends"), text(w["a"]).alias("a_text"), text(w["b"]).alias("b_text"),
-        F.concat(F.array(F.lit(0)), F.array_intersect(w["a_ends"], w["b_ends"])).alias("cuts"),
-    )).alias("words"))
-
-    def unlike(w: Column) -> Column:
-        """groups and links of a word whose sides end in different places."""
-        over = F.struct(_cover(w["a_ends"]).alias("a"), _cover(w["b_ends"]).alias("b"))
-
-        def found(by: Column) -> Column:
-            before = lambda k: F.get(w["cuts"], k)
-            group = lambda e, k: F.concat(_between(w["a_text"], by["a"], before(k), e), F.lit("|"), _between(w["b_text"], by["b"], before(k), e))
-            # the other side's tokens from the one over a token's first byte to the one over its last
-            start = lambda i: F.when(i == 0, 0).otherwise(F.get(w["a_ends"], i - 1))
-            reached = lambda e, i: F.sequence(F.get(by["b"], start(i)), F.get(by["b"], e - 1))
-            links = F.flatten(F.transform(w["a_ends"], lambda e, i: F.transform(reached(e, i), lambda j: _pair(F.get(w["a"], i), F.get(w["b"], j)))))
-            return F.struct(F.array_join(F.transform(F.slice(w["cuts"], 2, F.size(w["cuts"]) - 1), group), ";").alias("groups"), links.alias("links"))
-
-        return F.get(F.transform(F.array(over), found), F.lit(0))
-
-    def word(w: Column) -> Column:
-        n, m, g = F.size(w["a"]), F.size(w["b"]), F.size(w["cuts"]) - 1
-        like = F.struct(F.array_join(F.zip_with(w["a_text"], w["b_text"], lambda x, y: F.concat(x, F.lit("|"), y)), ";").alias("groups"), F.zip_with(w["a"], w["b"], _pair).alias("links"))
-        return F.struct(n.alias("n_a"), m.alias("n_b"), g.alias("n_groups"), F.when((g == n) & (g == m), like).otherwise(unlike(w)).alias("of"))
-
-    made = common.select("docs", F.transform("words", word).alias("made"))
-    at = lambda k: F.get("made", k)
-    total = lambda words, name: F.aggregate(words, F.lit(0), lambda n, k: n + at(k)[name])
-    each = F.transform("docs", lambda d: F.struct(
-        d["row"].alias("row"), d["id"].alias("id"), *(total(d["words"], n).alias(n) for n in ("n_a", "n_b", "n_groups")),
-        F.array_join(F.transform(d["words"], lambda k: at(k)["of"]["groups"]), ";").alias("groups"), F.flatten(F.transform(d["words"], lambda k: at(k)["of"]["links"])).alias("links"),
-    ))
-    return made.select(F.inline(each))
+    cuts = blocks.withColumns({"common": F.array_intersect("a_ends", "b_ends"), "all_ends": F.sort_array(F.array_union("a_ends", "b_ends"))})
+    over = cuts.select(
+        "docs", "word_ends", "a", "b", "common", "all_ends", F.col("a").cast("array<string>").alias("a_text"), F.col("b").cast("array<string>").alias("b_text"),
+        _cover("a_ends").alias("of_a"), _cover("b_ends").alias("of_b"), _cover("word_ends").alias("of_word"), _cover("all_ends").alias("of_link"),
+    )
+
+    def group(k: Column) -> Column:
+        """The ids of a group, and what parts it from the next: another mark at a word's end."""
+        start, end = _start("common", k), F.get("common", k)
+        first, last = (lambda of: F.get(of, start)), (lambda of: F.get(of, end - 1))
+        some = lambda text, of: F.array_join(F.slice(text, first(of) + 1, last(of) - first(of) + 1), ",")
+        alone = (first("of_a") == last("of_a")) & (first("of_b") == last("of_b"))
+        mark = F.when(F.get("of_word", end) == last("of_word"), ";").otherwise("\n")
+        of_one = F.concat(F.get("a_text", last("of_a")), F.lit("|"), F.get("b_text", last("of_b")), mark)
+        return F.when(alone, of_one).otherwise(F.concat(some("a_text", "of_a"), F.lit("|"), some("b_text", "of_b"), mark))
+
+    # an end of either side closes a stretch of bytes that one token of each side covers
+    link = lambda end: F.shiftleft(F.get("a", F.get("of_a", end - 1)).cast("long"), 32) + F.get("b", F.get("of_b", end - 1))
+    groups = F.when(F.size("common") > 0, F.transform(F.sequence(F.lit(0), F.size("common") - 1), group)).otherwise(F.array().cast("array<string>"))
+    made = over.select("docs", "word_ends", "of_link", groups.alias("groups"), F.transform("all_ends", link).alias("links"))
+
+    def own(end: Column, k: Column) -> Column:
+        first = F.get("of_link", _start("word_ends", k))
+        return F.slice("links", first + 1, F.get("of_link", end - 1) - first + 1)
+
+    texts = F.split(F.array_join("groups", ""), "\n")
+    made = made.select("docs", texts.alias("texts"), F.when(F.size("links") > 0, F.transform("word_ends", own)).otherwise(F.array().cast("array<array<long>>")).alias("links"))
+    text = lambda d: F.struct(
+        *(d[c].alias(c) for c in ("row", "id", "n_a", "n_b")), F.array_join(F.transform(d["words"], lambda k: F.get("texts", k)), ";").alias("groups"), F.flatten(F.transform(d["words"], lambda k: F.get("links", k))).alias("links"),
+    )
+    # named once more, outside the lambda
+    some = (F.size("texts") >= 0) | (F.size("links") >= 0)
+    each = made.select(F.inline(F.when(some, F.transform("docs", text))))
+    n_groups = F.aggregate(F.split("groups", ";"), F.lit(0), lambda n, g: n + F.when(g == "", 0).otherwise(1))
+    return each.select("row", "id", "n_a", "n_b", n_groups.alias("n_groups"), "groups", "links")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
