@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logscope.functions import classify, fields
 from logscope.functions.levels import is_error
 from logscope.functions.text import signature
+from logscope.operators import scan
 from logscope.sources.store import drop, settings, table
 
 
@@ -156,21 +157,12 @@ class Analysis:
 
     @cached_property
     def enriched(self) -> DataFrame:
-        """Lines with run_no, subject, and the command that claims them afterwards."""
-        order = Window.partitionBy("token").orderBy("ord")
-        prior = F.max("ts_ms").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        """Lines with run_no, subject, and the command that claims them afterwards, where it exits."""
         # lines without a token stand alone: spread over their ord, not in one group
-        with_token = self.lines.where("token is not null")
-        d = with_token.withColumn("_new", (prior.isNull() | (F.col("ts_ms") - prior >= self.options.timeout_ms)).cast("int"))
-        d = d.withColumn("run_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        run = Window.partitionBy("token", "run_no").orderBy("ord")
-        upto = run.rowsBetween(Window.unboundedPreceding, 0)
-        after = order.rowsBetween(0, Window.unboundedFollowing)
-        claim = F.first(F.when(F.col("cmd.exited"), F.struct("ord", F.col("cmd.name").alias("name"))), ignorenulls=True).over(after)
-        d = d.withColumns({"subject": F.last("own", ignorenulls=True).over(upto), "run_first_ms": F.min("ts_ms").over(upto), "_claim": claim}).drop("_new")
-        claimed = F.when(F.col("subject").isNull() & (F.col("_claim.ord") - F.col("ord") < self.options.scrollback), F.col("_claim.name"))
-        d = d.withColumn("claimed", claimed).drop("_claim")
-        alone = self.lines.where("token is null").withColumns({"run_no": F.lit(None).cast("long"), "subject": F.col("own"), "run_first_ms": F.lit(None).cast("long"), "claimed": F.lit(None).cast("string")})
+        d = scan.runs(self.lines.where("token is not null"), self.options.timeout_ms)
+        claim = F.when(F.col("subject").isNull() & (F.col("exit.ord") - F.col("ord") < self.options.scrollback), F.col("exit"))
+        d = d.withColumns({"claimed": claim["name"], "claimed_at": claim["ord"]}).drop("exit")
+        alone = self.lines.where("token is null").withColumns({"run_no": F.lit(None).cast("long"), "subject": F.col("own"), "run_first_ms": F.lit(None).cast("long"), "claimed": F.lit(None).cast("string"), "claimed_at": F.lit(None).cast("long")})
         d = d.unionByName(alone)
         return self.keep(d.withColumn("endpoint", F.when(F.col("subject.kind") == "endpoint", F.col("subject.name"))))
 
@@ -185,21 +177,22 @@ class Analysis:
 
     @cached_property
     def runs(self) -> DataFrame:
-        """token, run_no, kind, name, first_ms, last_ms, ms and totals of runs that have a subject."""
+        """token, run_no, kind, name, first_ms, last_ms, ms and totals of runs that have a subject;
+        kept, as most tables read it."""
         g = self.enriched.where("token is not null").groupBy("token", "run_no").agg(
             F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"),
             F.max_by(F.col("own"), F.when(F.col("own").isNotNull(), F.col("ord"))).alias("subject"),
             F.count("sql").alias("queries"), F.count("http").alias("calls"),
             F.count(F.when(F.col("msg.event") == "dispatched", 1)).alias("messages"), F.count("cache").alias("misses"),
         )
-        return g.where("subject is not null").select("token", "run_no", F.col("subject.kind").alias("kind"), F.col("subject.name").alias("name"), "first_ms", "last_ms", (F.col("last_ms") - F.col("first_ms")).alias("ms"), "queries", "calls", "messages", "misses")
+        return self.keep(g.where("subject is not null").select("token", "run_no", F.col("subject.kind").alias("kind"), F.col("subject.name").alias("name"), "first_ms", "last_ms", (F.col("last_ms") - F.col("first_ms")).alias("ms"), "queries", "calls", "messages", "misses"))
 
     @cached_property
     def run_shapes(self) -> DataFrame:
-        """token, run_no, what, shape, n, name: how often a run repeats one thing."""
+        """token, run_no, what, shape, n, name: how often a run repeats one thing (A30); kept."""
         made = lambda what, shape: F.when(shape.isNotNull(), F.struct(F.lit(what).alias("what"), shape.alias("shape")))
         dispatched = F.when(F.col("msg.event") == "dispatched", F.col("msg.class"))
         things = F.array_compact(F.array(made("sql", F.col("sql")), made("call", F.col("http.shape")), made("message", dispatched), made("cache", F.col("cache.key"))))
         each = self.enriched.where("token is not null").select("token", "run_no", F.explode(things).alias("t"))
         counted = each.groupBy("token", "run_no", "t.what", "t.shape").agg(F.count("*").alias("n"))
-        return counted.join(self.runs.select("token", "run_no", "name", "last_ms"), ["token", "run_no"])
+        return self.keep(counted.join(self.runs.select("token", "run_no", "name", "last_ms"), ["token", "run_no"]))

@@ -9,6 +9,7 @@ from logscope.functions.levels import NAMES
 from logscope.functions.quantile import quantiles
 from logscope.functions.text import one_line_sql
 from logscope.operators.analysis import Analysis
+from logscope.operators.scan import previous
 
 # Most keys of each table when ceilings are asked for, and subjects of a key.
 CEILINGS = {"routes": 4096, "errors": 4096, "deprecations": 4096, "channels": 512, "open_requests": 20000, "sql": 2048, "http": 2048, "messages": 2048, "open_messages": 20000, "commands": 512, "cache": 2048, "nplus1": 1024}
@@ -71,20 +72,32 @@ def subjects(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("r") <= SUBJECTS, F.col("name")))).alias("raised_by"), (F.max("r") > SUBJECTS).alias("raised_by_capped"))
 
 
+def _endpoint() -> Column:
+    """The last subject that lines of a group had when they came; without one, that of the
+    command whose exit was the first to claim a line (J02)."""
+    named = F.max_by("subject.name", F.when(F.col("subject").isNotNull(), F.col("ord")))
+    return F.coalesce(named, F.min_by("claimed", "claimed_at"))
+
+
+def raised_by(groups: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``groups`` with raised_by and raised_by_capped of ``rows``: subjects by arrival, those of
+    claims when the command exits; an empty list where there is none."""
+    claim = F.when(F.col("claimed").isNotNull(), F.struct(F.lit("command").alias("kind"), F.col("claimed").alias("name")))
+    also = rows.withColumns({"subject": F.coalesce("subject", claim), "ord": F.coalesce("claimed_at", "ord")})
+    none = F.array().cast("array<string>")
+    return groups.join(subjects(also, keys), keys, "left").withColumns({"raised_by": F.coalesce("raised_by", none), "raised_by_capped": F.coalesce("raised_by_capped", F.lit(False))})
+
+
 def errors(a: Analysis) -> DataFrame:
     """One row a signature; first and last by arrival."""
     e = a.enriched.where("is_error")
     named = F.when(F.col("subject").isNotNull(), F.col("ord"))
-    dated = F.when(F.col("ts").isNotNull(), F.col("ord"))
     g = e.groupBy("signature").agg(
         F.count("*").alias("count"), F.max("level").alias("level"), F.min_by("channel", "ord").alias("channel"), F.min_by("exception", "ord").alias("exception"),
-        F.max_by("message", "ord").alias("message"), F.max_by("context_json", "ord").alias("context"), F.min_by("ts_ms", dated).alias("first_ms"), F.max_by("ts_ms", dated).alias("last_ms"),
-        F.max_by("subject.name", named).alias("endpoint"), F.max_by("method", named).alias("method"), F.min_by("claimed", F.when(F.col("claimed").isNotNull(), F.col("ord"))).alias("claimed"),
+        F.max_by("message", "ord").alias("message"), F.max_by("context_json", "ord").alias("context"), F.min_by("ts_ms", _dated()).alias("first_ms"), F.max_by("ts_ms", _dated()).alias("last_ms"),
+        _endpoint().alias("endpoint"), F.max_by("method", named).alias("method"),
     )
-    g = g.withColumn("endpoint", F.coalesce("endpoint", "claimed")).drop("claimed")
-    also = e.withColumn("subject", F.coalesce("subject", F.when(F.col("claimed").isNotNull(), F.struct(F.lit("command").alias("kind"), F.col("claimed").alias("name")))))
-    none = F.array().cast("array<string>")
-    return g.join(subjects(also, ["signature"]), "signature", "left").withColumns({"raised_by": F.coalesce("raised_by", none), "raised_by_capped": F.coalesce("raised_by_capped", F.lit(False))})
+    return raised_by(g, e, ["signature"])
 
 
 def deprecations(a: Analysis) -> DataFrame:
@@ -93,9 +106,9 @@ def deprecations(a: Analysis) -> DataFrame:
     g = d.groupBy(*keys).agg(
         F.count("*").alias("count"), F.min_by("channel", "ord").alias("channel"), F.max_by("message", "ord").alias("message"),
         F.min_by("ts_ms", _dated()).alias("first_ms"), F.max_by("ts_ms", _dated()).alias("last_ms"),
-        F.max_by("depr.origin", F.when(F.col("depr.origin").isNotNull(), F.col("ord"))).alias("origin"), F.max_by("subject.name", F.when(F.col("subject").isNotNull(), F.col("ord"))).alias("endpoint"),
+        F.max_by("depr.origin", F.when(F.col("depr.origin").isNotNull(), F.col("ord"))).alias("origin"), _endpoint().alias("endpoint"),
     )
-    return g.withColumn("message", F.substring_index("message", "\n", 1)).join(subjects(d, keys), keys, "left")
+    return raised_by(g.withColumn("message", F.substring_index("message", "\n", 1)), d, keys)
 
 
 def endpoints(a: Analysis) -> DataFrame:
@@ -171,8 +184,7 @@ def cache_keys(a: Analysis) -> DataFrame:
 def lags(a: Analysis) -> DataFrame:
     """class, ms of handled messages whose line before, of the same id, dispatched them."""
     m = a.lines.where("msg.id is not null and msg.event in ('dispatched', 'handled')").select("msg.id", "msg.event", "msg.class", "ts_ms", "ord")
-    w = Window.partitionBy("id").orderBy("ord")
-    m = m.withColumn("was", F.lag(F.struct("event", "class", "ts_ms")).over(w))
+    m = previous(m, "id", "ord", F.struct("event", "class", "ts_ms"), "was")
     return m.where("event = 'handled' and was.event = 'dispatched' and was.class = class").select("class", F.greatest(F.col("ts_ms") - F.col("was.ts_ms"), F.lit(0)).cast("double").alias("ms"))
 
 

@@ -88,7 +88,7 @@ _LONG = BASE.replace("1800000", "86400000")
 ORACLE = {
     "top_channels": _numbered(TABLES["channel_counts"], "count DESC, channel", "channel", "count", "errors", top=0),
     "top_errors": _numbered(TABLES["error_signatures"], "count DESC, signature", "signature", "count", top=3),
-    "top_deprecations": BASE + f"""SELECT CAST(1 AS INTEGER) AS rank, 'Call number # of old# is deprecated' AS signature, '' AS origin_key, count(*) AS count, {_SPAN}, arg_max(name, CASE WHEN name IS NOT NULL THEN event_id END) AS route
+    "top_deprecations": BASE + f"""SELECT CAST(1 AS INTEGER) AS rank, 'Call number # of old# is deprecated' AS signature, '' AS origin_key, count(*) AS count, {_SPAN}, coalesce(arg_max(name, CASE WHEN name IS NOT NULL THEN event_id END), arg_min(claimed, claimed_at)) AS route
 FROM x WHERE kind = 'deprecation' HAVING count(*) > 0""",
     "top_endpoints": _numbered(TABLES["slowest_endpoints"], "p95 DESC, endpoint", "endpoint", "p95", top=5),
     "top_nplus1": _numbered(_LONG + "SELECT name AS subject, shape AS sql, count(*) AS runs, max(n) AS max_count FROM sh WHERE what = 'sql' AND n >= 2 GROUP BY ALL", "max_count DESC, runs DESC, subject, sql", "subject", "sql", "max_count", "runs"),

@@ -162,6 +162,11 @@ def retroactive_claim(spark, sf):
     return analysis(spark, sf).enriched.where("claimed is not null").select(F.col("ord").alias("event_id"), "claimed")
 
 
+def deprecation_claims(spark, sf):
+    d = tables.deprecations(analysis(spark, sf))
+    return d.select("signature", "endpoint", F.array_join("raised_by", ",").alias("raised_by"), "raised_by_capped")
+
+
 def message_lag(spark, sf):
     return tables.lags(analysis(spark, sf)).groupBy("class").agg(F.count("*").alias("paired"), F.sum("ms").alias("total_ms"), F.max("ms").alias("max_ms"))
 
@@ -268,9 +273,10 @@ l AS (SELECT *, CASE kind WHEN 'route' THEN 'request' WHEN 'sql' THEN 'doctrine'
   ts_ms - max(ts_ms) OVER (PARTITION BY token ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM b),
 r AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 1800000 THEN 1 ELSE 0 END) OVER (PARTITION BY token ORDER BY event_id) AS run_no FROM l),
 s AS (SELECT *, last_value(own IGNORE NULLS) OVER w AS name, last_value(own_kind IGNORE NULLS) OVER w AS name_kind, min(ts_ms) OVER w AS run_first,
-  arg_min(CASE WHEN kind = 'command' THEN own END, CASE WHEN kind = 'command' THEN event_id END) OVER (PARTITION BY token ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_command
+  arg_min(CASE WHEN kind = 'command' THEN own END, CASE WHEN kind = 'command' THEN event_id END) OVER (PARTITION BY token ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_command,
+  min(CASE WHEN kind = 'command' THEN event_id END) OVER (PARTITION BY token ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_exit
   FROM r WINDOW w AS (PARTITION BY token, run_no ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-x AS (SELECT *, CASE WHEN name_kind = 'endpoint' THEN name END AS endpoint, CASE WHEN name IS NULL THEN next_command END AS claimed FROM s),
+x AS (SELECT *, CASE WHEN name_kind = 'endpoint' THEN name END AS endpoint, CASE WHEN name IS NULL THEN next_command END AS claimed, CASE WHEN name IS NULL THEN next_exit END AS claimed_at FROM s),
 runs AS (SELECT token, run_no, arg_max(own, CASE WHEN own IS NOT NULL THEN event_id END) AS name, arg_max(own_kind, CASE WHEN own IS NOT NULL THEN event_id END) AS run_kind,
   min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, count(*) FILTER (kind = 'sql') AS queries, count(*) FILTER (kind = 'http') AS calls, count(*) FILTER (kind = 'sent') AS messages,
   count(*) FILTER (kind = 'cache') AS misses FROM x GROUP BY ALL HAVING count(own) > 0),
@@ -318,7 +324,7 @@ LEFT JOIN l ON l.level = n.rank GROUP BY n.level""",
     "status_classes": BASE + "SELECT CAST(status // 100 AS INTEGER) AS class, count(*) AS count FROM l WHERE status IS NOT NULL GROUP BY 1",
     "error_signatures": BASE + """SELECT signature, count(*) AS count, 5 AS level, 'request' AS channel, 'App\\E' || substr(signature, 2, 1) AS exception, arg_min(ts_ms, event_id) AS first_ms, arg_max(ts_ms, event_id) AS last_ms
 FROM l WHERE kind = 'error' GROUP BY signature""",
-    "error_subjects": BASE + """, n AS (SELECT signature, coalesce(name, claimed) AS who, min(event_id) AS o FROM x WHERE kind = 'error' AND coalesce(name, claimed) IS NOT NULL GROUP BY ALL),
+    "error_subjects": BASE + """, n AS (SELECT signature, coalesce(name, claimed) AS who, min(coalesce(claimed_at, event_id)) AS o FROM x WHERE kind = 'error' AND coalesce(name, claimed) IS NOT NULL GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY o, who) AS r FROM n)
 SELECT s.signature, coalesce(string_agg(who, ',' ORDER BY who) FILTER (r <= 16), '') AS raised_by, coalesce(max(r) > 16, false) AS raised_by_capped FROM (SELECT DISTINCT signature FROM x WHERE kind = 'error') s LEFT JOIN k USING (signature) GROUP BY 1""",
     "deprecations": BASE + "SELECT 'Call number # of old# is deprecated' AS signature, count(*) AS count, 'php' AS channel FROM l WHERE kind = 'deprecation' HAVING count(*) > 0",
@@ -339,6 +345,11 @@ SELECT user_id, min(ms) AS first_ms, max(ms) AS last_ms, count(*) AS n FROM n GR
     "run_totals": BASE + "SELECT token, run_kind AS kind, name, first_ms, last_ms, last_ms - first_ms AS ms, queries, calls, messages, misses FROM runs",
     "subject_as_of": BASE + "SELECT event_id, name_kind AS kind, name FROM x",
     "retroactive_claim": BASE + "SELECT event_id, claimed FROM x WHERE claimed IS NOT NULL",
+    # a subject is there when its line comes, or when the command exits that claims the line
+    "deprecation_claims": BASE + """, d AS (SELECT coalesce(name, claimed) AS who, coalesce(claimed_at, event_id) AS o, name, claimed, claimed_at, event_id FROM x WHERE kind = 'deprecation'),
+k AS (SELECT who, row_number() OVER (ORDER BY min(o), who) AS r FROM d WHERE who IS NOT NULL GROUP BY who)
+SELECT 'Call number # of old# is deprecated' AS signature, coalesce(arg_max(name, CASE WHEN name IS NOT NULL THEN event_id END), arg_min(claimed, claimed_at)) AS endpoint,
+  coalesce((SELECT string_agg(who, ',' ORDER BY who) FROM k WHERE r <= 16), '') AS raised_by, coalesce((SELECT max(r) > 16 FROM k), false) AS raised_by_capped FROM d HAVING count(*) > 0""",
     "message_lag": BASE + """, m AS (SELECT event_id, ts_ms, kind, 'App\\Message\\M' || (k % 4) AS class, lag(kind) OVER w AS pk, lag(ts_ms) OVER w AS pt, lag(k % 4) OVER w AS pc, k % 4 AS c FROM l WHERE kind IN ('sent', 'handled') WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
 SELECT class, count(*) AS paired, sum(CAST(greatest(ts_ms - pt, 0) AS DOUBLE)) AS total_ms, max(CAST(greatest(ts_ms - pt, 0) AS DOUBLE)) AS max_ms FROM m WHERE kind = 'handled' AND pk = 'sent' AND pc = c GROUP BY class""",
     "message_backlog": BASE + """SELECT 'App\\Message\\M' || (k % 4) AS class, count(*) FILTER (kind = 'sent') AS dispatched, count(*) FILTER (kind = 'handled') AS handled, greatest(count(*) FILTER (kind = 'sent') - count(*) FILTER (kind = 'handled'), 0) AS waiting, CAST(0 AS BIGINT) AS failed
