@@ -42,11 +42,13 @@ from logscope.llm.op12_pieces import BLANK, MAX_KEPT, SPACE, Agenda
 from logscope.llm.pieces import byte_letters
 
 #: Words remembered per Python worker.
-MAX_WORDS = 400_000
+MAX_WORDS = 250_000
+#: Words given to the libraries at once.
+LEARN = 4096
 #: Pairs with the highest counts, which are broadcast: 24 bytes each, so some 5 MB at most.
 HEAD = 200_000
 #: Characters of the texts whose different words are aligned together.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 
 
 class Both:
@@ -75,19 +77,20 @@ class Both:
         self.plain = re.compile(rf"[{BLANK}]+[^{BLANK}]*")
         self.word = re.compile(rf"[{BLANK}]+[^{BLANK}]*(?:[{glue}][{BLANK}]*[^{BLANK}]*)*")
         self.whole = self.b.plain.pattern == "(?s).+"
-        self.words: dict[str, tuple[bytes, bytes, bytes, bytes] | None] = {}
+        self.words: dict[str, bytes | None] = {}
 
     def cut(self, text: str) -> list[str]:
         if self.whole:
             return [" " + text]
         return (self.word if any(c in text for c in self.glued) else self.plain).findall(" " + text)
 
-    def _packed(self, raw: bytes, a: list[int], b: list[int]) -> tuple[bytes, bytes, bytes, bytes] | None:
-        """Ids and lengths of both sides; null where their bytes aren't the word's own."""
+    def _packed(self, raw: bytes, a: list[int], b: list[int]) -> bytes | None:
+        """The number of the first side's tokens, then ids and lengths of each side, as integers;
+        null where their bytes aren't the word's own."""
         of_a, of_b = [self.a_bytes[i] for i in a], [self.b.bytes[i] for i in b]
         if b"".join(of_a) != raw or None in of_b or b"".join(of_b) != raw:
             return None
-        return array("i", a).tobytes(), array("i", map(len, of_a)).tobytes(), array("i", b).tobytes(), array("i", map(len, of_b)).tobytes()
+        return array("i", [len(a), *a, *map(len, of_a), *b, *map(len, of_b)]).tobytes()
 
     def learn(self, words: list[str]) -> None:
         """Both sides of new words, by their libraries.
@@ -95,17 +98,19 @@ class Both:
         The second one puts a space before what it is given: a word that begins with one goes
         without it, of any other the ids after the space's own are kept.
         """
-        by_a = self.a.encode_batch_fast(words, add_special_tokens=False)
-        by_b = self.b.lib.encode([w[1:] if w[0] == " " else w for w in words], num_threads=1)
         alone = [self.b.id[SPACE]]
-        for w, a, b in zip(words, by_a, by_b, strict=True):
-            if w[0] != " ":
-                b = b[1:]
-            elif len(w) == 1:
-                b = alone
-            self.words[w] = self._packed(w.encode(), a.ids, b)
-
-    def block(self, texts: list[str | None]) -> tuple[list[tuple[bytes, bytes, bytes, bytes]], list[list[int] | None]]:
+        for at in range(0, len(words), LEARN):
+            some = words[at : at + LEARN]
+            by_a = self.a.encode_batch_fast(some, add_special_tokens=False)
+            by_b = self.b.lib.encode([w[1:] if w[0] == " " else w for w in some], num_threads=1)
+            for w, a, b in zip(some, by_a, by_b, strict=True):
+                if w[0] != " ":
+                    b = b[1:]
+                elif len(w) == 1:
+                    b = alone
+                self.words[w] = self._packed(w.encode(), a.ids, b)
+
+    def block(self, texts: list[str | None]) -> tuple[list[bytes], list[list[int]]]:
         """The different words of some texts, and each text as numbers of words (none: no tokens)."""
         cut = [self.cut(t) if t and SPACE not in t else [] for t in texts]
         if len(self.words) > MAX_WORDS:
@@ -129,6 +134,17 @@ def both(byte_file: str, piece_file: str) -> Both:
     return Both(byte_file, piece_file)
 
 
+def _unpacked(words: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of words laid end to end: ids and lengths of both sides, and how many tokens each word has."""
+    flat, size = np.frombuffer(b"".join(words), np.intc), np.array([len(w) // 4 for w in words], np.int64)
+    start = np.cumsum(size) - size
+    n = flat[start].astype(np.int64) if words else size
+    m = (size - 1 - 2 * n) // 2
+    place, of_n, of_m = np.arange(len(flat)) - np.repeat(start, size), np.repeat(n, size), np.repeat(m, size)
+    parts = np.where(place == 0, -1, np.where(place <= 2 * of_n, (place - 1) // np.maximum(of_n, 1), 2 + (place - 1 - 2 * of_n) // np.maximum(of_m, 1)))
+    return (*(flat[parts == k] for k in range(4)), n, m)
+
+
 def _one(items: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)
 
@@ -161,8 +177,7 @@ def tokenised(docs: DataFrame, byte_file: str, piece_file: str, id_col: str = "d
         for b in batches:
             for part in _slices(b, block):
                 words, numbers = code.block(part.column(2).to_pylist())
-                a, a_len, p, p_len = (np.frombuffer(b"".join([w[k] for w in words]), np.intc) for k in range(4))
-                n_a, n_p = (np.array([len(w[k]) // 4 for w in words], np.int64) for k in (0, 2))
+                a, a_len, p, p_len, n_a, n_p = _unpacked(words)
                 own = [np.array(x, np.int64) for x in numbers]
                 of = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, numbers)]), pa.int32()), pa.array(np.fromiter(chain.from_iterable(numbers), np.intc)))
                 docs = pa.StructArray.from_arrays([part.column(0), part.column(1), *(pa.array([int(n[x].sum()) for x in own], pa.int64()) for n in (n_a, n_p)), of], ["row", "id", "n_a", "n_b", "words"])
