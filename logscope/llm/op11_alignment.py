@@ -26,7 +26,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -38,24 +37,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logscope.llm.common import table
-from logscope.llm.op12_pieces import BLANK, MAX_KEPT, SPACE, Agenda
+from logscope.llm.op12_pieces import BLANK, SPACE, Agenda
 from logscope.llm.pieces import byte_letters
 
-#: Words remembered per Python worker.
-MAX_WORDS = 250_000
-#: Words given to the libraries at once.
-LEARN = 4096
+#: How byte-level vocabularies part a text before their merges (fixed value of that kind of file).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Words given to the libraries as one text, and characters of a word that goes alone.
+TOGETHER, LONG = 4096, 256
 #: Pairs with the highest counts, which are broadcast: 24 bytes each, so some 5 MB at most.
 HEAD = 200_000
 #: Characters of the texts whose different words are aligned together.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 
 
 class Both:
-    """Ids and lengths in bytes of the words of both tokenizers; one per Python worker."""
+    """Ids and lengths in bytes of words by both tokenizers; one per Python worker.
+
+    Words that end in no white space are laid end to end and read as one text.  The byte side's
+    merges are read from its file; where their order is that of its ids, as checked, tiktoken
+    reads them, which is several times faster, and else, and for long words, tokenizers.
+    """
 
     def __init__(self, byte_file: str, piece_file: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
         with open(byte_file, encoding="utf-8") as f:
@@ -65,10 +70,16 @@ class Both:
             raise ValueError(f"{byte_file} is no plain byte-level vocabulary")
         self.a, self.b = Tokenizer.from_file(byte_file), Agenda(piece_file)
         self.a.encode_special_tokens = True
-        back = {v: k for k, v in byte_letters().items()}
-        self.a_bytes = [b""] * self.a.get_vocab_size(with_added_tokens=True)
-        for token, i in self.a.get_vocab(with_added_tokens=False).items():
-            self.a_bytes[i] = bytes(back[c] for c in token)
+        back, vocab = {v: k for k, v in byte_letters().items()}, self.a.get_vocab(with_added_tokens=False)
+        ranks = {bytes(back[c] for c in token): i for token, i in vocab.items()}
+        formed = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in asked["model"]["merges"]]
+        single = {i for x, i in ranks.items() if len(x) == 1}
+        plain = all(i < j for i, j in zip(formed, formed[1:])) and len(single) == 256 and max(single) < formed[0] and len(formed) + 256 == len(ranks)
+        self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if plain else None
+        self.a_size = np.zeros(self.a.get_vocab_size(with_added_tokens=True), np.int64)
+        for x, i in ranks.items():
+            self.a_size[i] = len(x)
+        self.b_size = np.array([len(x or b"") for x in self.b.bytes], np.int64)
         # neither side joins anything across the border before white space, but before these
         split = self.a.pre_tokenizer.pre_tokenize_str
         glued = {c for c in map(chr, range(0x3001)) if c.isspace() and split(f"!{c}!")[0][1][1] != 1} | set(self.b.glued)
@@ -77,56 +88,61 @@ class Both:
         self.plain = re.compile(rf"[{BLANK}]+[^{BLANK}]*")
         self.word = re.compile(rf"[{BLANK}]+[^{BLANK}]*(?:[{glue}][{BLANK}]*[^{BLANK}]*)*")
         self.whole = self.b.plain.pattern == "(?s).+"
-        self.words: dict[str, bytes | None] = {}
 
     def cut(self, text: str) -> list[str]:
         if self.whole:
             return [" " + text]
         return (self.word if any(c in text for c in self.glued) else self.plain).findall(" " + text)
 
-    def _packed(self, raw: bytes, a: list[int], b: list[int]) -> bytes | None:
-        """The number of the first side's tokens, then ids and lengths of each side, as integers;
-        null where their bytes aren't the word's own."""
-        of_a, of_b = [self.a_bytes[i] for i in a], [self.b.bytes[i] for i in b]
-        if b"".join(of_a) != raw or None in of_b or b"".join(of_b) != raw:
-            return None
-        return array("i", [len(a), *a, *map(len, of_a), *b, *map(len, of_b)]).tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        """Both sides of new words, by their libraries.
+    def _ids(self, text: str, alone: bool) -> tuple[list[int], list[int]]:
+        """Ids of both sides of a text that begins with white space.
 
-        The second one puts a space before what it is given: a word that begins with one goes
-        without it, of any other the ids after the space's own are kept.
+        The second library puts a space before what it is given: a text that begins with one
+        goes without it, of any other the ids after the space's own are kept.
         """
-        alone = [self.b.id[SPACE]]
-        for at in range(0, len(words), LEARN):
-            some = words[at : at + LEARN]
-            by_a = self.a.encode_batch_fast(some, add_special_tokens=False)
-            by_b = self.b.lib.encode([w[1:] if w[0] == " " else w for w in some], num_threads=1)
-            for w, a, b in zip(some, by_a, by_b, strict=True):
-                if w[0] != " ":
-                    b = b[1:]
-                elif len(w) == 1:
-                    b = alone
-                self.words[w] = self._packed(w.encode(), a.ids, b)
-
-    def block(self, texts: list[str | None]) -> tuple[list[bytes], list[list[int]]]:
-        """The different words of some texts, and each text as numbers of words (none: no tokens)."""
+        a = self.fast.encode_ordinary(text) if self.fast and not alone else self.a.encode(text, add_special_tokens=False).ids
+        if text == " ":
+            return a, [self.b.id[SPACE]]
+        return a, self.b.lib.encode(text[1:]) if text[0] == " " else self.b.lib.encode(text)[1:]
+
+    def _read(self, words: list[str], alone: bool) -> tuple[np.ndarray, ...] | None:
+        """Of words end to end: ids and lengths of both sides, and where each word ends; null where
+        a side's bytes aren't the words' own or a word's end is no token's."""
+        a, b = (np.array(x, np.int64) for x in self._ids("".join(words), alone))
+        a_size, b_size = self.a_size[a], self.b_size[b]
+        ends = np.cumsum([len(w.encode()) for w in words])
+        # byte-level tokens and pieces with byte fallback lose nothing but a U+2581, which no
+        # word holds: where the lengths agree the bytes do
+        good = all(np.isin(ends, np.cumsum(size)).all() and size.sum() == ends[-1] for size in (a_size, b_size))
+        return (a, a_size, b, b_size, ends) if good else None
+
+    def block(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[list[int]]]:
+        """The different words of some texts, read as by ``_read``, and each text as numbers of
+        words (none: no tokens)."""
         cut = [self.cut(t) if t and SPACE not in t else [] for t in texts]
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
-        here = dict.fromkeys(chain.from_iterable(cut))
-        new = [w for w in here if w not in self.words]
-        self.learn(new)
-        bad = {w for w in here if self.words[w] is None}
-        good = [w for w in here if w not in bad]
-        number = {w: k for k, w in enumerate(good)}
+        here = list(dict.fromkeys(chain.from_iterable(cut)))
+        odd = [w for w in here if len(w) > LONG or w[-1].isspace()]
+        rest = [w for w in here if len(w) <= LONG and not w[-1].isspace()]
+        parts, words, bad = [], [], set()
+        for at in range(0, len(rest), TOGETHER):
+            some = rest[at : at + TOGETHER]
+            if (got := self._read(some, False)) is not None:
+                parts.append(got)
+                words += some
+            else:
+                odd += some
+        for w in odd:
+            if (got := self._read([w], True)) is not None:
+                parts.append(got)
+                words.append(w)
+            else:
+                bad.add(w)
+        number = {w: k for k, w in enumerate(words)}
         numbers = [[] if bad and not bad.isdisjoint(own) else list(map(number.__getitem__, own)) for own in cut]
-        words = [self.words[w] for w in good]
-        for w in new:
-            if len(w) > MAX_KEPT:
-                del self.words[w]
-        return words, numbers
+        base = np.cumsum([0, *(p[4][-1] for p in parts)])
+        ends = [p[4] + base[k] for k, p in enumerate(parts)]
+        none = [np.zeros(0, np.int64)]
+        return [np.concatenate(none + [p[k] for p in parts]) for k in range(4)] + [np.concatenate(none + ends)], numbers
 
 
 @lru_cache(maxsize=2)
@@ -134,17 +150,6 @@ def both(byte_file: str, piece_file: str) -> Both:
     return Both(byte_file, piece_file)
 
 
-def _unpacked(words: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of words laid end to end: ids and lengths of both sides, and how many tokens each word has."""
-    flat, size = np.frombuffer(b"".join(words), np.intc), np.array([len(w) // 4 for w in words], np.int64)
-    start = np.cumsum(size) - size
-    n = flat[start].astype(np.int64) if words else size
-    m = (size - 1 - 2 * n) // 2
-    place, of_n, of_m = np.arange(len(flat)) - np.repeat(start, size), np.repeat(n, size), np.repeat(m, size)
-    parts = np.where(place == 0, -1, np.where(place <= 2 * of_n, (place - 1) // np.maximum(of_n, 1), 2 + (place - 1 - 2 * of_n) // np.maximum(of_m, 1)))
-    return (*(flat[parts == k] for k in range(4)), n, m)
-
-
 def _one(items: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)
 
@@ -176,13 +181,13 @@ def tokenised(docs: DataFrame, byte_file: str, piece_file: str, id_col: str = "d
         ints = lambda x: pa.array(x.astype(np.intc))
         for b in batches:
             for part in _slices(b, block):
-                words, numbers = code.block(part.column(2).to_pylist())
-                a, a_len, p, p_len, n_a, n_p = _unpacked(words)
+                (a, a_size, p, p_size, ends), numbers = code.block(part.column(2).to_pylist())
+                a_ends, p_ends = np.cumsum(a_size), np.cumsum(p_size)
+                counts = [np.diff(np.searchsorted(side, ends, "right"), prepend=0) for side in (a_ends, p_ends)]
                 own = [np.array(x, np.int64) for x in numbers]
                 of = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, numbers)]), pa.int32()), pa.array(np.fromiter(chain.from_iterable(numbers), np.intc)))
-                docs = pa.StructArray.from_arrays([part.column(0), part.column(1), *(pa.array([int(n[x].sum()) for x in own], pa.int64()) for n in (n_a, n_p)), of], ["row", "id", "n_a", "n_b", "words"])
-                a_ends, ends = np.cumsum(a_len), np.concatenate([[0], np.cumsum(n_a)])[1:] - 1
-                columns = [pa.array(a), pa.array(p), ints(a_ends), ints(np.cumsum(p_len)), ints(a_ends[ends]), docs]
+                docs = pa.StructArray.from_arrays([part.column(0), part.column(1), *(pa.array([int(n[x].sum()) for x in own], pa.int64()) for n in counts), of], ["row", "id", "n_a", "n_b", "words"])
+                columns = [ints(a), ints(p), ints(a_ends), ints(p_ends), ints(ends), docs]
                 yield pa.record_batch(list(map(_one, columns)), names=["a", "b", "a_ends", "b_ends", "word_ends", "docs"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
