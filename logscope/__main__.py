@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 import argparse
-import os
 import sys
-import tempfile
 from datetime import datetime
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from logscope.operators.analysis import Analysis, Options
 from logscope.operators.assemble import assemble
 from logscope.plans import report
 from logscope.plans.bounds import conflicts, parse_bound
 from logscope.plans.thresholds import parse_threshold, verdict
-from logscope.sources.store import drop_all, shared_dir
-from logscope.sources.text import is_gzip, merge_order, read_lines, tail, unreadable
+from logscope.sources.store import drop_all
+from logscope.sources.text import discard, is_pipe, merge_order, read_lines, spooled, unreadable
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -41,14 +38,9 @@ def arguments() -> argparse.ArgumentParser:
     return p
 
 
-def spooled(spark: SparkSession) -> str:
-    """Standard input, written where all executors read."""
-    folder = shared_dir(spark).removeprefix("file://")
-    os.makedirs(folder, exist_ok=True)
-    with tempfile.NamedTemporaryFile(dir=folder, suffix=".log", delete=False) as f:
-        while part := sys.stdin.buffer.read(1 << 20):
-            f.write(part)
-    return f.name
+def _drained(spark: SparkSession, pipe: str) -> str:
+    with open(pipe, "rb") as f:
+        return spooled(spark, f)
 
 
 def run(spark: SparkSession, argv: list[str], out=None, err=None) -> int:
@@ -64,17 +56,15 @@ def run(spark: SparkSession, argv: list[str], out=None, err=None) -> int:
     except ValueError as e:
         print(e, file=err)
         return report.USAGE
-    paths = [spooled(spark) if f == "-" else f for f in o.files]
+    spools = {k: spooled(spark, sys.stdin.buffer) if f == "-" else _drained(spark, f) for k, f in enumerate(o.files) if f == "-" or is_pipe(f)}
+    paths = [spools.get(k, f) for k, f in enumerate(o.files)]
     missing = unreadable(spark, paths)
     for path in missing:
         print(f"{path}: can't be read", file=err)
-    parts = [read_lines(spark, [p], gzipped=is_gzip(p)).withColumn("source", F.lit(k)) for k, p in enumerate(paths) if p not in missing]
-    if not parts:
+    readable = [p for p in paths if p not in missing]
+    if not readable:
         return report.UNREADABLE
-    lines = parts[0]
-    for more in parts[1:]:
-        lines = lines.unionByName(more)
-    entries, skipped = assemble(merge_order(lines if o.lines is None else tail(lines, o.lines)))
+    entries, skipped = assemble(merge_order(read_lines(spark, readable, o.lines)))
     options = Options(since_ms=bounds[0], until_ms=bounds[1], duration_key=o.duration_key, duration_unit=o.duration_unit, correlate=not o.no_correlate, correlate_key=o.correlate_key, timeout_ms=o.correlate_timeout, nplus1=o.nplus1, top=o.top)
     a = Analysis(entries, options, int(launched.timestamp() * 1000))
     try:
@@ -86,6 +76,8 @@ def run(spark: SparkSession, argv: list[str], out=None, err=None) -> int:
         breaches = verdict(a, o.fail_if) if o.fail_if else []
     finally:
         a.close()
+        for path in spools.values():
+            discard(spark, path)
     try:
         out.write(text)
         out.flush()

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+import os
+import stat
+import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bytes of a line that are kept.
-LINE_BYTES = 1 << 20
+from logscope.sources.store import shared_dir
+from logscope.sources.stream import LINE_BYTES, MAGIC, opened, streamed
 
 
 def decoded(raw) -> F.Column:
@@ -18,79 +18,103 @@ def decoded(raw) -> F.Column:
     return F.make_valid_utf8(F.substring(raw.cast("binary"), 1, LINE_BYTES).cast("string"))
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def first_bytes(spark: SparkSession, path: str) -> list[bytes]:
+    """The first two bytes of each file that ``path``, which may be a pattern, names; an error
+    where there is none, or one can't be opened."""
+    fs, at = _hadoop(spark, path)
+    found = fs.globStatus(at)
+    if not found:
+        raise FileNotFoundError(path)
+    out = []
+    for status in found:
+        if status.isFile():
+            stream = fs.open(status.getPath())
+            out.append(bytes(b for b in (stream.read(), stream.read()) if b >= 0))
+            stream.close()
+    return out
+
+
 def unreadable(spark: SparkSession, paths: list[str]) -> list[str]:
-    """The paths that can't be listed; the others are read without them."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    """The paths that aren't there or can't be opened; the others are read without them."""
     bad = []
     for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        if not path.getFileSystem(conf).globStatus(path):
+        try:
+            first_bytes(spark, p)
+        except Exception:  # noqa: BLE001 - whatever the file system says: this source can't be read
             bad.append(p)
     return bad
 
 
-def is_gzip(path: str) -> bool:
-    """Whether a file on this machine begins as gzip does, whatever its name."""
+def is_gzip(spark: SparkSession, path: str) -> bool:
+    """Whether a file begins as gzip does, whatever its name and wherever it lies."""
+    return MAGIC in first_bytes(spark, path)
+
+
+def is_pipe(path: str) -> bool:
+    """Whether a path on this machine is a pipe, which can be read but once."""
     try:
-        with open(path.removeprefix("file://"), "rb") as f:
-            return f.read(2) == b"\x1f\x8b"
+        return stat.S_ISFIFO(os.stat(path).st_mode)
     except OSError:
-        return path.endswith(".gz")
+        return False
 
 
-def unpacked(content: bytes) -> bytes:
-    """What can be unpacked of gzip members; a cut or broken archive gives what comes before."""
-    out = []
-    while content[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(wbits=31)
-        try:
-            for at in range(0, len(content), 1 << 16):
-                out.append(member.decompress(content[at : at + (1 << 16)]))
-                if member.eof:
-                    content = member.unused_data + content[at + (1 << 16) :]
-                    break
-            else:
-                break
-        except zlib.error:
-            break
-    return b"".join(out)
-
-
-def _gzip_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines of whole files: unpacked if the first two bytes say gzip, whatever the name."""
-    for b in batches:
-        for source, content in zip(*b.columns, strict=True):
-            data = content.as_py()
-            if data[:2] == b"\x1f\x8b":
-                data = unpacked(data)
-            lines = data.split(b"\n")
-            if lines and not lines[-1]:
-                lines.pop()
-            for at in range(0, len(lines), 10_000):
-                some = lines[at : at + 10_000]
-                yield pa.record_batch([pa.array([source.as_py()] * len(some), pa.int32()), pa.array(range(at, at + len(some)), pa.int64()), pa.array([x[:LINE_BYTES].decode("utf-8", "replace") for x in some])], names=["source", "line_no", "value"])
-
-
-def read_lines(spark: SparkSession, paths: list[str], gzipped: bool = False) -> DataFrame:
-    """source (place in ``paths``), line_no, value.
-
-    Plain files are split; a line's number comes from counts per split, summed per file, so no
-    file is ordered in one task.  With ``gzipped`` the files are read whole and unpacked by content.
+def spooled(spark: SparkSession, stream) -> str:
+    """What a pipe gives, written where all executors read; the caller deletes it (``discard``)."""
+    fs, at = _hadoop(spark, f"{shared_dir(spark)}/spool-{uuid.uuid4().hex}.log")
+    out = fs.create(at)
+    try:
+        while part := stream.read(1 << 20):
+            out.write(bytearray(part))
+    finally:
+        out.close()
+    return at.toString()
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    fs, at = _hadoop(spark, path)
+    fs.delete(at, False)
+
+
+def read_lines(spark: SparkSession, paths: list[str], last: int | None = None, size: int | None = None) -> DataFrame:
+    """source (place in ``paths``), line_no, value; of each file its last ``last`` lines.
+
+    Plain files are split by Spark's reader; a line's number comes from counts per split, summed
+    per file, so no file is ordered in one task.  Archives, text that is named as one, and ends of
+    files are read by ``stream``.  A pattern, or a file that only Hadoop opens, is left to Spark's
+    reader, which unpacks by name; what it finds broken gives what comes before.
     """
-    parts = []
+    parts, own = [], []
     for source, path in enumerate(paths):
-        if gzipped:
-            whole = spark.read.format("binaryFile").load(path).select(F.lit(source).alias("source"), "content")
-            parts.append(whole.mapInArrow(_gzip_lines, "source int, line_no long, value string"))
+        odd = is_gzip(spark, path) or path.endswith(".gz") or last is not None
+        if odd and _opens(path):
+            own.append((source, path))
             continue
-        text = spark.read.option("lineSep", "\n").text(path)
-        parts.append(numbered(text.select(F.lit(source).alias("source"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), decoded(F.col("value")).alias("value"))))
+        text = spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", "true").text(path)
+        plain = numbered(text.select(F.lit(source).alias("source"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), decoded(F.col("value")).alias("value")))
+        parts.append(plain if last is None else tail(plain, last))
+    if own:
+        parts.append(streamed(spark, own, last, **({} if size is None else {"size": size})))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def _opens(path: str) -> bool:
+    """Whether Python itself can open the file."""
+    try:
+        opened(path).close()
+    except Exception:  # noqa: BLE001 - no such file system in pyarrow, a pattern, ...
+        return False
+    return True
+
+
 def numbered(blocks: DataFrame) -> DataFrame:
     """Line numbers from (source, file, block, at): inside a block, after the blocks before."""
     key = ["source", "file", "block"]
@@ -101,7 +125,7 @@ def numbered(blocks: DataFrame) -> DataFrame:
 
 
 def tail(lines: DataFrame, n: int) -> DataFrame:
-    """The last ``n`` physical lines of each source (S06, S09): the source's length bounds them."""
+    """The last ``n`` numbered lines of each source (S06, S09), where all have been read."""
     last = lines.groupBy("source").agg(F.max("line_no").alias("_last"))
     return lines.join(last, "source").where(F.col("line_no") > F.col("_last") - n).drop("_last")
 

@@ -1,7 +1,6 @@
 """Every log query against its SQL, and the line parser on its own."""
 
 import glob
-import gzip
 import os
 
 import duckdb
@@ -11,7 +10,7 @@ import pytest
 from logscope.functions.parse import parse, split_exact
 from logscope.operators.assemble import assemble
 from logscope.plans import lists, queries
-from logscope.sources.text import merge_order, read_lines, tail
+from logscope.sources.text import merge_order, read_lines
 
 QUERIES, ORACLE = {**queries.QUERIES, **lists.QUERIES}, {**queries.ORACLE, **lists.ORACLE}
 
@@ -75,24 +74,6 @@ def test_continuations_join_their_head(spark):
     assert [r["ord"] for r in skipped.collect()] == [0]
 
 
-def test_gzip_is_told_by_content(spark, tmp_path):
-    text = b"a\nb\nc\nd"
-    (tmp_path / "x.log").write_bytes(gzip.compress(text[:4]) + gzip.compress(text[4:]))
-    (tmp_path / "y.gz").write_bytes(text)
-    (tmp_path / "z.gz").write_bytes(b"\x1f")
-    cut = gzip.compress(b"kept\n" * 200_000)
-    (tmp_path / "cut.gz").write_bytes(cut[: len(cut) // 2])
-    (tmp_path / "bad.gz").write_bytes(b"\x1f\x8bnothing of the kind")
-    paths = [str(tmp_path / n) for n in ("x.log", "y.gz", "z.gz")]
-    lines = read_lines(spark, paths, gzipped=True)
-    got = {(r["source"], r["line_no"]): r["value"] for r in lines.collect()}
-    assert [got[0, i] for i in range(4)] == [got[1, i] for i in range(4)] == list("abcd")
-    broken = read_lines(spark, [str(tmp_path / n) for n in ("cut.gz", "bad.gz")], gzipped=True).groupBy("source", "value").count().collect()
-    assert {r["value"] for r in broken} >= {"kept"} and {r["source"] for r in broken} == {0}
-    last = tail(lines.where("source < 2"), 2)
-    assert sorted((r["source"], r["value"]) for r in last.collect()) == [(0, "c"), (0, "d"), (1, "c"), (1, "d")]
-
-
 def test_plain_files_keep_their_line_numbers(spark, tmp_path):
     (tmp_path / "a.log").write_bytes(b"one\rstill one\ntwo\n\xff\xfe\nlast")
     got = merge_order(read_lines(spark, [str(tmp_path / "a.log")])).orderBy("ord").collect()
