@@ -226,6 +226,6 @@ def stream(a: Analysis, min_level: int = 0, subject: str | None = None, search:
     if subject is not None:
         d = d.where(name == subject)
     if search:
-        d = d.where(F.exists(F.array("message", "channel", "own_endpoint", name), lambda x: F.coalesce(F.lower(x).contains(search.lower()), F.lit(False))))
+        d = d.where(F.exists(F.array("message", "channel", "own_endpoint", "uri", name), lambda x: F.coalesce(F.lower(x).contains(search.lower()), F.lit(False))))
     d = d.select("ord", "ts", "level", "channel", "message", name.alias("subject")).orderBy(F.desc("ord"))
     return d.limit(limit) if limit else d

@@ -41,9 +41,9 @@ def keep_top(df: DataFrame, order: list[Column], top: int) -> DataFrame:
 
 
 def listed(a: Analysis, what: str, top: int | None = None, by: str | None = None) -> DataFrame:
-    """A list of the report (T01-T09); channels are all shown unless ``top`` is given."""
+    """A list of the report (T01-T09); as many channels as their ceiling unless ``top`` is given."""
     if top is None:
-        top = 0 if what == "channels" else a.options.top
+        top = tables.CEILINGS["channels"] if what == "channels" else a.options.top
     return keep_top(LISTS[what][0](a), order_of(what, by), top)
 
 
@@ -111,6 +111,15 @@ def overview(a: Analysis, seconds: int = 600) -> dict[str, DataFrame]:
     }
 
 
+def followed(a: Analysis, what: str, subject: str) -> DataFrame:
+    """The errors or deprecations that a subject has raised (W03), among others or alone: asked of
+    all their lines, not of the sixteen names that are shown."""
+    kind, (_, _, keys) = {"errors": "is_error", "deprecations": "depr is not null"}[what], LISTS[what]
+    rows = a.enriched.where(kind).where(F.coalesce("subject.name", "claimed") == subject)
+    own = rows.select("signature") if what == "errors" else rows.select(F.col("depr.message").alias("signature"), "depr.origin_key")
+    return LISTS[what][0](a).join(own.distinct(), list(keys), "left_semi")
+
+
 def endpoint_patterns(a: Analysis, endpoint: str) -> DataFrame:
     """An endpoint's repeated queries (J08), the worst first."""
     return keep_top(tables.nplus1(a).where(F.col("subject") == endpoint), order_of("nplus1"), 0)

@@ -32,7 +32,7 @@ def parse_bound(text: str, launched: datetime) -> int:
         if form in TIMES:
             at = datetime.combine(launched.date(), time(at.hour, at.minute, at.second))
         return int(at.replace(tzinfo=launched.tzinfo).timestamp() * 1000)
-    raise ValueError(f"{text!r} is no duration (30s, 15m, 2h, 3d) and no date (2026-09-09T14:30:00, 2026-09-09 14:30, 14:30)")
+    raise ValueError(f"can't tell a time from {text!r}: give an age such as 90s or 6h, a clock time such as 07:45, or a day such as 2025-11-30")
 
 
 def read_from_start(follow: bool, lines: int | None, everything: bool, since: str | None) -> bool:
@@ -49,7 +49,7 @@ def conflicts(thresholds: Sequence[str], follow: bool, nplus1: int) -> list[str]
     """Why the options can't be met together."""
     found = []
     if thresholds and follow:
-        found.append("--fail-if needs a report that ends (--json or --summary, without --every)")
+        found.append("thresholds are checked when the log has ended, and a followed log never does")
     if nplus1 == 0 and any(parse_threshold(t).metric == "nplus1" for t in thresholds):
-        found.append("a threshold on nplus1 needs --nplus1 above 0")
+        found.append("nplus1 is switched off by --nplus1 0, so it can have no threshold")
     return found

@@ -60,6 +60,7 @@ def shortened(text: str, size: int) -> str:
 
 def slug(what: str, name: str | None, at: datetime) -> str:
     """A file name for a report."""
+    # fixed values: characters of the name that are looked at, and that are kept
     clean = re.sub(r"[^A-Za-z0-9_]+", "-", (name or "")[:60]).strip("-")[:40]
     return "-".join(x for x in ("logscope", what, clean, f"{at:%Y%m%d-%H%M%S}") if x)
 
@@ -100,7 +101,7 @@ def snapshot(a: Analysis, skipped: int = 0, generated: datetime | None = None, c
     """All counters and lists (K02); a rate without a population is null."""
     t, now = tables.totals(a).first().asDict(), generated or datetime.now(UTC)
     status = {r["class"]: r["count"] for r in tables.status_classes(a).collect()}
-    seconds = timeline.seconds(a.lines)
+    seconds = timeline.seconds(a.lines, a.shared.launched_ms or None)
     peak = timeline.peak(seconds).first()
     tail = lambda secs: seconds.agg(F.max("sec").alias("head")).crossJoin(seconds).where(F.col("sec") > F.col("head") - secs).agg(F.sum("count")).first()[0] or 0
     shapes, sums = views.shape_counts(a), tables.message_totals(a).first()
@@ -108,6 +109,7 @@ def snapshot(a: Analysis, skipped: int = 0, generated: datetime | None = None, c
     rate = lambda x, digits=4: None if x is None else round(x, digits)
     last = t["last_ms"]
     opened = 0 if last is None else a.runs.where(F.col("last_ms") + a.options.timeout_ms > last).count()
+    # fixed values: the names of the document
     document = {
         "generated_at": now.isoformat(),
         "window": {"first_seen": iso(t["first_ms"]), "last_seen": iso(last), "span_seconds": 0.0 if last is None else round(max(0, last - t["first_ms"]) / 1000, 3)},
@@ -134,45 +136,52 @@ def render_json(document: dict, pretty: bool = True) -> str:
     return json.dumps(document, ensure_ascii=False, sort_keys=True, indent=2 if pretty else None)
 
 
-# The summary's sections, with the columns that each line shows.
-SECTIONS = (
-    ("Errors", "errors", lambda r: f"{format_count(r['count']):>8}  {r['level']:<9} {shortened(r['signature'], 100)}"),
-    ("Deprecations", "deprecations", lambda r: f"{format_count(r['count']):>8}  {shortened(r['message'], 100)}"),
-    ("Slowest endpoints", "endpoints", lambda r: f"{shortened(r['endpoint'], 40):<40} p95 {format_ms(r['p95_ms']):>9}  max {format_ms(r['max_ms']):>9}  {format_count(r['requests']):>9} requests"),
-    ("N+1 patterns", "nplus1", lambda r: f"{r['max_per_request']:>6}x  {shortened(r['subject'], 30):<30} {shortened(r['sql'], 80)}"),
-    ("Outbound calls", "http_calls", lambda r: f"{shortened(r['shape'], 60):<60} p95 {format_ms(r['p95_ms']):>9}  {format_count(r['calls']):>9} calls"),
-    ("Messages", "messages", lambda r: f"{shortened(r['class'], 60):<60} {r['dispatched']:>7} sent {r['handled']:>7} handled {r['waiting']:>7} waiting"),
-    ("Cache misses", "cache_keys", lambda r: f"{format_count(r['misses']):>8}  {shortened(r['key'], 80)}"),
-    ("Console commands", "commands", lambda r: f"{shortened(r['command'], 40):<40} {r['runs']:>7} runs {r['failed']:>7} failed"),
-)
+#: What the summary tabulates: of each list the columns of the document, and how a number is shown.
+TABLES = {
+    "channels": {"channel": str, "count": format_count, "errors": format_count},
+    "errors": {"signature": str, "level": str, "count": format_count, "endpoint": str},
+    "deprecations": {"signature": str, "count": format_count, "endpoint": str},
+    "endpoints": {"endpoint": str, "requests": format_count, "p95_ms": format_ms, "max_ms": format_ms, "status_5xx": format_count},
+    "nplus1": {"subject": str, "sql": str, "max_per_request": format_count, "runs_affected": format_count},
+    "commands": {"command": str, "runs": format_count, "failed": format_count},
+    "messages": {"class": str, "dispatched": format_count, "handled": format_count, "waiting": format_count},
+    "http_calls": {"shape": str, "calls": format_count, "p95_ms": format_ms},
+    "cache_keys": {"key": str, "misses": format_count},
+}
+#: Characters of a cell.
+CELL = 48
+
+
+def _facts(d: dict, zone: tzinfo) -> list[tuple[str, str]]:
+    """Names and values of what the document says of the whole log."""
+    t, s, source = d["totals"], d["status"], d["duration_source"]
+    at = lambda text: datetime.fromisoformat(text).astimezone(zone).strftime("%Y-%m-%d %H:%M:%S") if text else "-"
+    rate = lambda x: "-" if x is None else f"{x:.2%}"
+    return [
+        ("first line", at(d["window"]["first_seen"])), ("last line", at(d["window"]["last_seen"])), ("span", format_span(d["window"]["span_seconds"])),
+        ("entries", format_count(t["entries"])), ("lines without an entry", format_count(t["skipped"])), ("entries outside the bounds", format_count(t["out_of_window"])),
+        ("errors", f"{format_count(t['errors'])} = {rate(t['error_rate'])}"), ("requests", format_count(t["requests"])), ("request errors", f"{format_count(t['request_errors'])} = {rate(t['request_error_rate'])}"),
+        *((f"answers {k}", format_count(s[k])) for k in STATUS if s[k]), ("share of 5xx", rate(s["rate_5xx"])),
+        ("fullest second", format_count(d["throughput"]["peak_per_second"])), ("timed by", " ".join(str(source[k]) for k in ("kind", "key") if k in source)), ("timed entries", format_count(source["timed"])),
+        *((f"level {n.lower()}", format_count(d["levels"][n.lower()])) for n in reversed(NAMES) if d["levels"][n.lower()]),
+        *([("tables at their ceiling", ", ".join(d["capped"]))] if d["capped"] else []),
+    ]
 
 
 def render_summary(d: dict, zone: tzinfo = UTC, rows: int = 10) -> str:
-    """The document as text (K01); empty sections are left out."""
-    t, ms = d["totals"], lambda s: None if s is None else int(datetime.fromisoformat(s).timestamp() * 1000)
-    out = ["── logscope ─ summary ──", f"{format_count(t['entries'])} entries analysed ({format_count(t['skipped'])} skipped), {format_count(t['errors'])} errors"]
-    if t["out_of_window"]:
-        out.append(f"window   : {format_count(t['out_of_window'])} lines dropped outside the bounds")
-    if d["window"]["span_seconds"] > 0:
-        out.append(f"period   : {format_window(ms(d['window']['first_seen']), ms(d['window']['last_seen']), zone)} ({format_span(d['window']['span_seconds'])})")
-    if t["request_error_rate"] is not None:
-        out.append(f"requests : {format_count(t['requests'])} (error rate {t['request_error_rate'] * 100:.2f} %)")
-    s = d["status"]
-    if s["rate_5xx"] is not None:
-        share = coverage(s["responses"], t["requests"])
-        out.append(f"status   : {' · '.join(f'{k} {format_count(s[k])}' for k in STATUS if s[k])} — {s['rate_5xx'] * 100:.2f} % 5xx ({share + ' answered' if share else format_count(s['responses']) + ' responses'})")
-    out.append(f"peak     : {format_count(d['throughput']['peak_per_second'])} lines/s")
-    source = d["duration_source"]
-    out.append(f"durations: {source['kind']}{' ' + source['key'] if 'key' in source else ''}{' (' + (coverage(source['timed'], t['requests']) or format_count(source['timed'])) + ' timed)' if source['kind'] != 'none' else ''}")
-    if d["capped"]:
-        out.append(f"capped   : {', '.join(d['capped'])}")
-    out += ["", "Levels", *(f"  {name:<10} {format_count(d['levels'][name.lower()]):>10}" for name in reversed(NAMES) if d["levels"][name.lower()])]
-    if d["channels"]:
-        out += ["", "Channels", *(f"  {shortened(c['channel'], 16):<16} {format_count(c['count']):>12} {c['count'] / t['entries'] * 100:>5.1f} %" + (f"   {format_count(c['errors']):>9} errors" if c["errors"] else "") for c in d["channels"][:rows])]
-    for title, what, line in SECTIONS:
-        found = [r for r in d[what] if what != "endpoints" or r["timed"]]
-        if found:
-            out += ["", f"{title} ({len(found)})", *(f"  {line(r)}" for r in found[:rows])]
+    """The document as text (K01): a column of facts, then each list that has rows as a Markdown
+    table under its own column names."""
+    facts = _facts(d, zone)
+    width = max(len(name) for name, _ in facts)
+    out = [f"{name.ljust(width)}  {value}" for name, value in facts]
+    for what, columns in TABLES.items():
+        found = d[what][:rows]
+        if not found:
+            continue
+        cells = [[name for name in columns]] + [["-" if r[name] is None else shortened(show(r[name]), CELL) for name, show in columns.items()] for r in found]
+        widths = [max(map(len, column)) for column in zip(*cells, strict=True)]
+        lines = [f"| {' | '.join(c.ljust(w) for c, w in zip(row, widths, strict=True))} |" for row in cells]
+        out += ["", f"## {what}, {len(found)} of {len(d[what])}", lines[0], f"|{'|'.join('-' * (w + 2) for w in widths)}|", *lines[1:]]
     return "\n".join(out) + "\n"
 
 

@@ -15,6 +15,8 @@ from logscope.operators.analysis import Analysis
 DURATIONS = ("p50", "p95", "p99", "max", "http-client-p50", "http-client-p95", "http-client-p99", "http-client-max")
 RATES = ("error-rate", "request-error-rate", "5xx-rate")
 COUNTS = ("errors", "deprecations", "entries", "nplus1", "commands-failed", "messages-waiting", "messages-failed")
+#: A number as floats are written.
+FLOAT = r"(?i:[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf(?:inity)?|nan))"
 NAMED = ("p50", "p95", "p99", "max", "5xx-rate", "nplus1", "commands-failed")
 
 
@@ -55,7 +57,7 @@ def parse_threshold(text: str) -> Threshold:
         raise ValueError(f"{text}: unknown metric {metric}")
     if named and (metric not in NAMED or not name):
         raise ValueError(f"{text}: {metric} takes no name")
-    m = re.fullmatch(r"\s*([0-9]*\.?[0-9]+)\s*(%|ms|s)?\s*", right)
+    m = re.fullmatch(rf"\s*({FLOAT})\s*(%|ms|s)?\s*", right, re.ASCII)
     if not m:
         raise ValueError(f"{text}: bad value")
     value, unit = float(m[1]), m[2]
