@@ -8,21 +8,16 @@ totals use event time; of several sources the furthest behind holds the watermar
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logscope.functions.quantile import bucket, of_counts
 from logscope.operators.analysis import Analysis, Options
-
-RUN = "token string, kind string, name string, first_ms long, last_ms long, ms long, queries long, calls long, messages long, misses long"
-_STATE = "kind string, name string, first_ms long, last_ms long, queries long, calls long, messages long, misses long"
-_COUNTS = ["queries", "calls", "messages", "misses"]
+from logscope.streaming.runs import Closed, tracked
 
 
 class Live(Analysis):
@@ -57,45 +52,9 @@ def merged(streams: list[DataFrame], delay: str = "10 seconds") -> DataFrame:
     return reduce(DataFrame.unionByName, [s.withWatermark("ts", delay) for s in streams])
 
 
-def _closed(token: str, s: tuple) -> list[tuple]:
-    kind, name, first, last, *counts = s
-    return [(token, kind, name, first, last, last - first, *counts)] if kind is not None else []
-
-
 def live_runs(lines: DataFrame, timeout_ms: int = 5000) -> DataFrame:
-    """Runs as they close (R01, R03, R04, R06); one without a subject is dropped.
-
-    A token's rows come in chunks, ordered by ord inside each, so none is held whole.
-    """
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in RUN.split(", ")]
-        run, out = (state.get if state.exists else None), []
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame(_closed(key[0], run), columns=columns)
-            return
-        for chunk in chunks:
-            for row in chunk.sort_values("ord").itertuples(index=False):
-                if run is not None and row.ts_ms - run[3] >= timeout_ms:
-                    out += _closed(key[0], run)
-                    run = None
-                kind, name, first, last, *counts = run or (None, None, row.ts_ms, row.ts_ms, 0, 0, 0, 0)
-                if row.kind is not None:
-                    kind, name = row.kind, row.name
-                run = (kind, name, min(first, row.ts_ms), max(last, row.ts_ms), *(int(c + getattr(row, n)) for c, n in zip(counts, _COUNTS, strict=True)))
-            if out:
-                yield pd.DataFrame(out, columns=columns)
-                out = []
-        state.update(run)
-        state.setTimeoutDuration(timeout_ms)
-
-    one = lambda there: there.cast("long")
-    rows = lines.where("token is not null").select(
-        "token", "ord", "ts_ms", F.col("own.kind").alias("kind"), F.col("own.name").alias("name"),
-        one(F.col("sql").isNotNull()).alias("queries"), one(F.col("http").isNotNull()).alias("calls"),
-        one(F.coalesce(F.col("msg.event") == "dispatched", F.lit(False))).alias("messages"), one(F.col("cache").isNotNull()).alias("misses"),
-    )
-    return rows.groupBy("token").applyInPandasWithState(step, RUN, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    """Runs as they close (R01, R03, R04, R06); one without a subject is dropped."""
+    return Closed(tracked(lines, Options(timeout_ms=timeout_ms)), Options()).runs.drop("run_no")
 
 
 def session_totals(lines: DataFrame, timeout_ms: int = 5000) -> DataFrame:
@@ -142,9 +101,3 @@ def snapshots(lines: DataFrame, sink: Callable[[DataFrame, int], None], checkpoi
     writer = counters(kept).writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
     return writer.foreachBatch(lambda batch, n: sink(snapshot(batch), n)).start()
-
-
-def open_runs(query: StreamingQuery) -> int:
-    """Runs that are open now: rows of state."""
-    last = query.lastProgress
-    return sum(op["numRowsTotal"] for op in last["stateOperators"]) if last else 0

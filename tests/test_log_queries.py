@@ -9,10 +9,10 @@ import pytest
 
 from logscope.functions.parse import parse, split_exact
 from logscope.operators.assemble import assemble
-from logscope.plans import lists, queries
+from logscope.plans import lists, queries, varied
 from logscope.sources.text import merge_order, read_lines
 
-QUERIES, ORACLE = {**queries.QUERIES, **lists.QUERIES}, {**queries.ORACLE, **lists.ORACLE}
+QUERIES, ORACLE = {**queries.QUERIES, **lists.QUERIES, **varied.QUERIES}, {**queries.ORACLE, **lists.ORACLE, **varied.ORACLE}
 
 
 @pytest.fixture(scope="module")
