@@ -86,6 +86,21 @@ class Lines:
             drop(self.typed)
 
 
+class Written(Lines):
+    """Lines that were typed before, as by a stream (``streaming.live.write_typed``)."""
+
+    def __init__(self, typed: DataFrame, like: Lines):
+        super().__init__(like.entries, like.launched_ms, like.duration_keys, like.token_keys, like.unit)
+        self.written = typed
+
+    @property
+    def typed(self) -> DataFrame:
+        return self.written
+
+    def close(self) -> None:
+        """The table is its writer's."""
+
+
 class Analysis:
     """One analysis of ``entries`` (source, ord, ts, level, channel, message, context, extra),
     or of the ``Lines`` made of them."""
@@ -109,6 +124,10 @@ class Analysis:
         self._kept.append(table(df, "kept"))
         return self._kept[-1]
 
+    def admit(self, what: str, rows: DataFrame) -> DataFrame:
+        """The rows of a list that are detailed: all, without ceilings (see ``ceilings``)."""
+        return rows
+
     def close(self) -> None:
         """Delete what was written; tables made before can't be read again."""
         for df in self._kept:
@@ -189,10 +208,10 @@ class Analysis:
 
     @cached_property
     def run_shapes(self) -> DataFrame:
-        """token, run_no, what, shape, n, name: how often a run repeats one thing (A30); kept."""
+        """token, run_no, what, shape, n, first_ord, name, last_ms: how often a run repeats one thing (A30); kept."""
         made = lambda what, shape: F.when(shape.isNotNull(), F.struct(F.lit(what).alias("what"), shape.alias("shape")))
         dispatched = F.when(F.col("msg.event") == "dispatched", F.col("msg.class"))
         things = F.array_compact(F.array(made("sql", F.col("sql")), made("call", F.col("http.shape")), made("message", dispatched), made("cache", F.col("cache.key"))))
-        each = self.enriched.where("token is not null").select("token", "run_no", F.explode(things).alias("t"))
-        counted = each.groupBy("token", "run_no", "t.what", "t.shape").agg(F.count("*").alias("n"))
+        each = self.enriched.where("token is not null").select("token", "run_no", "ord", F.explode(things).alias("t"))
+        counted = each.groupBy("token", "run_no", "t.what", "t.shape").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"))
         return self.keep(counted.join(self.runs.select("token", "run_no", "name", "last_ms"), ["token", "run_no"]))

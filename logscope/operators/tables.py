@@ -210,13 +210,23 @@ def admitted(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("ord").alias("first_ord")).orderBy("first_ord", key).limit(most)
 
 
+def key_places(a: Analysis) -> DataFrame:
+    """name, key, at: where each key of each table comes first; one aggregate for all tables."""
+    of = {
+        "routes": F.col("endpoint"), "errors": F.col("signature"), "deprecations": F.when(F.col("depr").isNotNull(), F.concat_ws("\0", "depr.message", "depr.origin_key")), "channels": F.col("channel"),
+        "sql": F.col("sql"), "http": F.col("http.shape"), "messages": F.col("msg.class"), "commands": F.col("cmd.name"), "cache": F.col("cache.key"),
+    }
+    each = F.array_compact(F.array(*(F.when(c.isNotNull(), F.struct(F.lit(n).alias("name"), c.alias("key"))) for n, c in of.items())))
+    return a.enriched.select("ord", F.inline(each)).groupBy("name", "key").agg(F.min("ord").alias("at"))
+
+
 def capped(a: Analysis) -> DataFrame:
-    """name, keys, capped of every table."""
-    d = a.enriched.select("*", F.col("http.shape").alias("shape"), F.col("msg.class").alias("class"), F.col("cmd.name").alias("command"), F.col("cache.key").alias("key"), F.struct("depr.message", "depr.origin_key").alias("dk"))
-    of = {"routes": F.col("endpoint"), "errors": F.col("signature"), "deprecations": F.when(F.col("depr").isNotNull(), F.col("dk")), "channels": F.col("channel"), "sql": F.col("sql"), "http": F.col("shape"), "messages": F.col("class"), "commands": F.col("command"), "cache": F.col("key")}
-    row = d.agg(*(F.count_distinct(c).alias(n) for n, c in of.items()))
-    limits = F.create_map(*(F.lit(x) for n in of for x in (n, CEILINGS[n])))
-    return row.unpivot([], list(of), "name", "keys").withColumn("capped", F.col("keys") > limits[F.col("name")])
+    """name, keys, capped of the tables by lines, whether or not ceilings are asked for."""
+    names = ("routes", "errors", "deprecations", "channels", "sql", "http", "messages", "commands", "cache")
+    seen = key_places(a).groupBy("name").agg(F.count("*").alias("keys"))
+    every = seen.sparkSession.createDataFrame([(n, CEILINGS[n]) for n in names], "name string, most long")
+    keys = F.coalesce("keys", F.lit(0))
+    return every.join(seen, "name", "left").select("name", keys.alias("keys"), (keys > F.col("most")).alias("capped"))
 
 
 def stream(a: Analysis, min_level: int = 0, subject: str | None = None, search: str | None = None, limit: int | None = None) -> DataFrame:

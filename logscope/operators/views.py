@@ -44,7 +44,7 @@ def listed(a: Analysis, what: str, top: int | None = None, by: str | None = None
     """A list of the report (T01-T09); as many channels as their ceiling unless ``top`` is given."""
     if top is None:
         top = tables.CEILINGS["channels"] if what == "channels" else a.options.top
-    return keep_top(LISTS[what][0](a), order_of(what, by), top)
+    return keep_top(a.admit(what, LISTS[what][0](a)), order_of(what, by), top)
 
 
 def ranked(a: Analysis, what: str, top: int | None = None, by: str | None = None) -> DataFrame:

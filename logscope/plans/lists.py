@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from logscope.operators import tables, views
 from logscope.operators.analysis import Options
+from logscope.operators.ceilings import Ceiled
 from logscope.plans.queries import BASE, OPTIONS, _ms, analysis
 from logscope.plans.queries import ORACLE as TABLES
 
@@ -72,6 +73,37 @@ def capped_keys(spark, sf):
     return tables.capped(analysis(spark, sf))
 
 
+#: Ceilings that the log passes, for three tables by a single key.
+LOW = {"routes": 4, "errors": 2, "channels": 5, "cache": 1, "sql": 5, "commands": 2, "http": 3, "messages": 3, "deprecations": 1}
+_ceiled: dict[tuple, Ceiled] = {}
+
+
+def ceiled(spark, sf) -> Ceiled:
+    a = analysis(spark, sf)
+    if (a, "low") not in _ceiled:
+        _ceiled.clear()
+        _ceiled[a, "low"] = Ceiled(a, LOW)
+    return _ceiled[a, "low"]
+
+
+def ceilings(spark, sf):
+    """Which tables have refused keys, under low ceilings."""
+    return ceiled(spark, sf).capped().where(F.col("name").isin("routes", "errors", "channels", "cache keys", "sql shapes", "commands", "outbound calls", "message classes", "deprecations"))
+
+
+def ceiled_lists(spark, sf):
+    """The keys that lists detail under low ceilings: the first that came."""
+    c = ceiled(spark, sf)
+    of = {"endpoints": "endpoint", "errors": "signature", "channels": "channel", "messages": "class"}
+    rows = [views.listed(c, what, 0).select(F.lit(what).alias("list"), F.col(key).alias("key")) for what, key in of.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+def ceiled_runs(spark, sf):
+    """Runs under low ceilings: a refused class doesn't reach them, a refused call does."""
+    return ceiled(spark, sf).runs.select("token", "name", "first_ms", "calls", "messages", "misses")
+
+
 def admitted_errors(spark, sf):
     return views.admitted_rows(analysis(spark, sf), "errors", 2).select("signature", "count")
 
@@ -104,6 +136,17 @@ SELECT endpoint, round(coalesce(errors / nullif(requests, 0), 0), 6) AS error_ra
     "capped_keys": BASE + """, c AS (SELECT count(DISTINCT endpoint) AS routes, count(DISTINCT CASE WHEN kind = 'error' THEN signature END) AS errors, count(DISTINCT CASE WHEN kind = 'deprecation' THEN 1 END) AS deprecations, count(DISTINCT channel) AS channels,
 count(DISTINCT CASE WHEN kind = 'sql' THEN k % 5 END) AS sql, count(DISTINCT CASE WHEN kind = 'http' THEN k % 3 END) AS http, count(DISTINCT CASE WHEN kind IN ('sent', 'handled') THEN k % 4 END) AS messages, count(DISTINCT CASE WHEN kind = 'command' THEN own END) AS commands, count(DISTINCT CASE WHEN kind = 'cache' THEN 1 END) AS cache FROM x)
 SELECT name, keys, false AS capped FROM c UNPIVOT (keys FOR name IN (routes, errors, deprecations, channels, sql, http, messages, commands, cache))""",
+    "ceilings": BASE + """, c AS (SELECT count(DISTINCT endpoint) AS routes, count(DISTINCT CASE WHEN kind = 'error' THEN signature END) AS errors, count(DISTINCT CASE WHEN kind = 'deprecation' THEN 1 END) AS deprecations, count(DISTINCT channel) AS channels,
+count(DISTINCT CASE WHEN kind = 'sql' THEN k % 5 END) AS "sql shapes", count(DISTINCT CASE WHEN kind = 'http' THEN k % 3 END) AS "outbound calls", count(DISTINCT CASE WHEN kind IN ('sent', 'handled') THEN k % 4 END) AS "message classes", count(DISTINCT CASE WHEN kind = 'command' THEN own END) AS commands, count(DISTINCT CASE WHEN kind = 'cache' THEN 1 END) AS "cache keys" FROM x),
+u AS (SELECT name, keys FROM c UNPIVOT (keys FOR name IN (routes, errors, deprecations, channels, "sql shapes", "outbound calls", "message classes", commands, "cache keys")))
+SELECT name, keys, keys > CASE name WHEN 'routes' THEN 4 WHEN 'errors' THEN 2 WHEN 'channels' THEN 5 WHEN 'cache keys' THEN 1 WHEN 'sql shapes' THEN 5 WHEN 'commands' THEN 2 WHEN 'outbound calls' THEN 3 WHEN 'message classes' THEN 3 ELSE 1 END AS capped FROM u""",
+    "ceiled_lists": BASE + """, f AS (SELECT 'endpoints' AS list, endpoint AS key, min(event_id) AS o, 4 AS most FROM x WHERE endpoint IS NOT NULL GROUP BY endpoint
+UNION ALL SELECT 'errors', signature, min(event_id), 2 FROM x WHERE kind = 'error' GROUP BY signature UNION ALL SELECT 'channels', channel, min(event_id), 5 FROM x GROUP BY channel
+UNION ALL SELECT 'messages', 'App\Message\M' || (k % 4), min(event_id), 3 FROM x WHERE kind IN ('sent', 'handled') GROUP BY 2)
+SELECT list, key FROM (SELECT *, row_number() OVER (PARTITION BY list ORDER BY o, key) AS r FROM f) WHERE r <= most""",
+    "ceiled_runs": BASE + """, known AS (SELECT k % 4 AS c FROM x WHERE kind IN ('sent', 'handled') GROUP BY 1 ORDER BY min(event_id) LIMIT 3),
+m AS (SELECT token, run_no, count(*) AS messages FROM x WHERE kind = 'sent' AND k % 4 IN (SELECT c FROM known) GROUP BY ALL)
+SELECT token, name, first_ms, calls, coalesce(m.messages, 0) AS messages, misses FROM runs LEFT JOIN m USING (token, run_no)""",
     "admitted_errors": BASE + "SELECT signature, count(*) AS count FROM l WHERE kind = 'error' GROUP BY signature ORDER BY min(event_id) LIMIT 2",
 }
 

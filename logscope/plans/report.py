@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from logscope.functions.levels import NAMES, level_lower
 from logscope.operators import tables, timeline, views
 from logscope.operators.analysis import Analysis
+from logscope.operators.ceilings import Ceiled
 
 # Exit codes.
 OK, UNREADABLE, USAGE, BREACHED = 0, 1, 2, 3
@@ -97,8 +98,9 @@ def list_rows(a: Analysis, what: str, top: int | None = None) -> DataFrame:
     return rows.select(*shown[what]())
 
 
-def snapshot(a: Analysis, skipped: int = 0, generated: datetime | None = None, ceilings: bool = False) -> dict:
-    """All counters and lists (K02); a rate without a population is null."""
+def snapshot(a: Analysis, skipped: int = 0, generated: datetime | None = None) -> dict:
+    """All counters and lists (K02), under its ceilings if it is a ``Ceiled`` analysis; a rate
+    without a population is null."""
     t, now = tables.totals(a).first().asDict(), generated or datetime.now(UTC)
     status = {r["class"]: r["count"] for r in tables.status_classes(a).collect()}
     seconds = timeline.seconds(a.lines, a.shared.launched_ms or None)
@@ -119,7 +121,7 @@ def snapshot(a: Analysis, skipped: int = 0, generated: datetime | None = None, c
         "throughput": {"peak_per_second": peak["count"] if peak else 0, "peak_at": iso(peak["sec"] * 1000) if peak else None, "last_5s_per_second": round(tail(5) / 5, 2), "last_60s_per_second": round(tail(60) / 60, 2)},
         "duration_source": {**views.duration_source(a), "timed": t["timed"]},
         "open_requests": opened,
-        "capped": [r["name"] for r in tables.capped(a).where("capped").collect()] if ceilings else [],
+        "capped": sorted(r["name"] for r in a.capped().where("capped").collect()) if isinstance(a, Ceiled) else [],
         "sql": {"shapes": shapes["sql"], "nplus1_threshold": a.options.nplus1},
         "console": {"lines": t["command_lines"], "commands": shapes["commands"], "runs": runs[0], "failed": runs[1]},
         "cache": {"misses": t["cache_misses"], "keys": shapes["cache"]},

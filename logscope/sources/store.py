@@ -55,7 +55,7 @@ def table(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -63,9 +63,9 @@ def _delete(spark: SparkSession, path: str) -> None:
 def drop(df: DataFrame) -> None:
     """Delete a table's files; what still reads it fails."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
 
 
 def drop_all(spark: SparkSession) -> None:
     """Delete all tables of this application: for the owner of the session, at its end."""
-    _delete(spark, _folder(spark))
+    delete(spark, _folder(spark))

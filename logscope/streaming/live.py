@@ -8,15 +8,21 @@ totals use event time; of several sources the furthest behind holds the watermar
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+import uuid
+from collections.abc import Callable, Iterator
+from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logscope.functions.quantile import bucket, of_counts
-from logscope.operators.analysis import Analysis, Options
+from logscope.operators.analysis import Analysis, Lines, Options, Written
+from logscope.plans.report import snapshot as snapshot_document
+from logscope.sources.store import delete, shared_dir
+from logscope.streaming.follow import followed
 from logscope.streaming.runs import Closed, tracked
 
 
@@ -47,6 +53,34 @@ def read_typed(lines: DataFrame, path: str) -> DataFrame:
     return lines.sparkSession.readStream.schema(lines.schema).parquet(path)
 
 
+def reports(paths: list[str], options: Options, spark: SparkSession, launched: datetime, every: float, latest: bool = True, ticks: int | None = None, idle_ms: int = 1000) -> Iterator[dict]:
+    """The whole report of followed files every so many seconds (K03, R14, R15), ``ticks`` times or
+    until the caller ends.
+
+    A query types each line once, into a table; a report reads the table as far as it has come, so
+    it equals the batch report of the same lines.  Its cost grows with the lines typed so far, not
+    with the text: a long log is better asked for at longer intervals.
+    """
+    folder = f"{shared_dir(spark)}/follow-{uuid.uuid4().hex}"
+    more = ((options.duration_key,) if options.duration_key else (), (options.correlate_key,) if options.correlate_key else ())
+    lines = Lines(followed(spark, paths, latest, idle_ms), int(launched.timestamp() * 1000), *more, options.duration_unit)
+    query = write_typed(lines.plan, f"{folder}/typed", f"{folder}/checkpoint")
+    try:
+        made = 0
+        while ticks is None or made < ticks:
+            time.sleep(every)
+            if query.exception():
+                raise query.exception()
+            typed = spark.read.schema(lines.plan.schema).parquet(f"{folder}/typed") if query.lastProgress else spark.createDataFrame([], lines.plan.schema)
+            a = Analysis(Written(typed.where("level is not null"), lines), options)
+            yield snapshot_document(a, typed.where("level is null").count(), datetime.now(launched.tzinfo))
+            a.close()
+            made += 1
+    finally:
+        query.stop()
+        delete(spark, folder)
+
+
 def merged(streams: list[DataFrame], delay: str = "10 seconds") -> DataFrame:
     """Sources with a watermark each; the least one counts."""
     return reduce(DataFrame.unionByName, [s.withWatermark("ts", delay) for s in streams])

@@ -2,6 +2,8 @@
 
 import io
 import json
+import threading
+import time
 from datetime import UTC, datetime, timedelta, timezone
 
 import pytest
@@ -139,3 +141,25 @@ def test_summary_items_and_usage(spark, log):
     code, out, _ = told(spark, log, "--item", "endpoints", "home", "--nplus1", "3")
     assert code == report.OK and "repeats 4 times: SELECT 1" in out
     assert told(spark, log, "--since", "soon")[0] == told(spark, log, "--fail-if", "nplus1>0", "--nplus1", "0")[0] == report.USAGE
+
+
+def test_followed_reports_end_as_the_batch_report(spark, log, tmp_path):
+    """A log that grows while it is followed: the last report is that of the whole log."""
+    path, text = tmp_path / "app.log", open(log).read()
+    path.write_text(text[: len(text) // 2])
+
+    def grow():
+        time.sleep(8)
+        with path.open("a") as f:
+            f.write(text[len(text) // 2 :])
+
+    threading.Thread(target=grow, daemon=True).start()
+    out = io.StringIO()
+    assert run(spark, [str(path), "--follow", "--all", "--every", "12", "--nplus1", "3"], out, ticks=4) == report.OK
+    taken = [json.loads(x) for x in out.getvalue().splitlines()]
+    whole = json.loads(told(spark, log, "--json", "--nplus1", "3")[1])
+    assert len(taken) == 4
+    for d in (taken[-1], whole):
+        d.pop("generated_at")
+    assert taken[-1] == whole
+    assert told(spark, log, "--follow", "--fail-if", "errors>1")[0] == report.USAGE
