@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from datetime import datetime
 
@@ -35,6 +36,7 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--duration-key")
     p.add_argument("--duration-unit", default="auto", choices=("auto", "ms", "s", "us"))
     p.add_argument("--correlate-key")
+    p.add_argument("--save", metavar="DIR", help="write the item's report there instead, under a name of its own")
     p.add_argument("--follow", action="store_true", help="a JSON report a line, of files that grow, until interrupted")
     p.add_argument("--every", type=float, default=10, help="seconds between reports of followed files")
     p.add_argument("-a", "--all", action="store_true", help="followed files are read from their start")
@@ -49,6 +51,15 @@ def _drained(spark: SparkSession, pipe: str) -> str:
         return spooled(spark, f)
 
 
+def saved(folder: str, name: str, text: str) -> str:
+    """Where the report was written."""
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"{name}.md")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)
+    return path
+
+
 def _followed(spark: SparkSession, o: argparse.Namespace, options: Options, launched: datetime, out, ticks: int | None) -> int:
     latest = not read_from_start(True, o.lines, o.all, o.since)
     try:
@@ -91,6 +102,8 @@ def run(spark: SparkSession, argv: list[str], out=None, err=None, ticks: int | N
     try:
         if o.item:
             text = report.item_report(a, *o.item, o.files, launched)
+            if o.save:
+                text = saved(o.save, report.slug(*o.item, launched), text) + "\n"
         else:
             document = report.snapshot(a, skipped.count(), launched)
             text = report.render_json(document) + "\n" if o.json else report.render_summary(document, launched.tzinfo)

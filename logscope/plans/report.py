@@ -187,17 +187,29 @@ def render_summary(d: dict, zone: tzinfo = UTC, rows: int = 10) -> str:
     return "\n".join(out) + "\n"
 
 
+#: Rows of one name that an item report shows: queries of a subject, origins of a deprecation.
+ITEMS = 50
+
+
 def item_report(a: Analysis, what: str, name: str, sources: list[str], at: datetime) -> str:
-    """One row of a list with its header (K06, K11); of an endpoint, its repeated queries too."""
-    key = views.LISTS[what][2][0]
-    rows = views.LISTS[what][0](a).where(F.col(key) == name).limit(1).collect()
-    head = [f"{what}: {name}", f"exported : {at.isoformat(timespec='seconds')}", f"sources  : {', '.join(sources)}", ""]
+    """The rows of a list under one name with a header (K06, K11): every repeated query of a
+    subject, every origin of a deprecation; of an endpoint its repeated queries too."""
+    _, falls, names = views.LISTS[what]
+    rows = views.keep_top(views.LISTS[what][0](a).where(F.col(names[0]) == name), views.order_of(what), ITEMS).collect()
+    out = [f"# {what}: {name}", "", f"of {', '.join(sources)}", f"at {at.isoformat(timespec='seconds')}", ""]
     if not rows:
-        return "\n".join([*head, "nothing selected", ""])
-    body = [f"{k:<18} {', '.join(v) if isinstance(v, list) else v}" for k, v in rows[0].asDict().items() if v is not None]
-    if what == "endpoints":
-        body += [f"repeats {r['max_count']} times: {r['sql']}" for r in views.endpoint_patterns(a, name).limit(20).collect()]
-    return "\n".join([*head, *body, ""])
+        out += ["There is no such row.", ""]
+    for row in rows:
+        shown = {k: v for k, v in row.asDict().items() if v is not None and v != []}
+        # the row's own keys come first, and whole
+        for k in (*names, *(k for k in shown if k not in names)):
+            if k in shown:
+                v = shown[k]
+                out.append(f"- {k}: {', '.join(v) if isinstance(v, list) else iso(v) if k in ('first_ms', 'last_ms') else v}")
+        out.append("")
+    if what == "endpoints" and rows:
+        out += [f"- repeated {r['max_count']} times in a run: {r['sql']}" for r in views.endpoint_patterns(a, name).limit(ITEMS).collect()]
+    return "\n".join(out).rstrip() + "\n"
 
 
 def exit_code(unreadable: list[str], breaches: list[str]) -> int:

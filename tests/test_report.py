@@ -129,7 +129,7 @@ def test_json_and_thresholds(spark, log):
     assert d["errors"][0]["count"] == 1 and d["capped"] == []
 
 
-def test_summary_items_and_usage(spark, log):
+def test_summary_items_and_usage(spark, log, tmp_path):
     code, out, _ = told(spark, log, "--summary", "--nplus1", "3", "--fail-if", "commands-failed>0")
     assert code == report.BREACHED
     facts = dict(line.split("  ", 1) for line in out.split("\n\n")[0].splitlines())
@@ -139,7 +139,11 @@ def test_summary_items_and_usage(spark, log):
         assert f"## {what}, " in out
     assert "## http_calls" not in out and "| home " in out
     code, out, _ = told(spark, log, "--item", "endpoints", "home", "--nplus1", "3")
-    assert code == report.OK and "repeats 4 times: SELECT 1" in out
+    assert code == report.OK and "- repeated 4 times in a run: SELECT 1" in out and "- endpoint: home" in out
+    code, out, _ = told(spark, log, "--item", "nplus1", "home", "--nplus1", "3", "--save", str(tmp_path / "out"))
+    (saved,) = (tmp_path / "out").iterdir()
+    assert code == report.OK and out.strip() == str(saved) and saved.name.startswith("logscope-nplus1-home-") and "- sql: SELECT 1" in saved.read_text()
+    assert "There is no such row." in told(spark, log, "--item", "errors", "none")[1]
     assert told(spark, log, "--since", "soon")[0] == told(spark, log, "--fail-if", "nplus1>0", "--nplus1", "0")[0] == report.USAGE
 
 
