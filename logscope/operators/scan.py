@@ -43,29 +43,45 @@ def previous(rows: DataFrame, key: str, place: str, value: Column, name: str, bi
     return cut.join(carried, [key, "_block"], "left").withColumn(name, F.coalesce(local, "_carried")).drop("_block", "_value", "_carried")
 
 
-def numbered_runs(rows: DataFrame, key: str, place: str, starts: str, name: str, bits: int = BITS) -> DataFrame:
-    """``rows`` with the number of rows of their key up to them for which ``starts`` is true."""
-    cut = blocked(rows, place, bits).withColumn("_one", F.col(starts).cast("long"))
-    sums = cut.groupBy(key, "_block").agg(F.sum("_one").alias("_n"))
-    carried = sums.select(key, "_block", F.sum("_n").over(blocks_before(key)).alias("_base")).where("_base > 0")
-    local = F.sum("_one").over(inside(key, place))
-    return cut.join(carried, [key, "_block"], "left").withColumn(name, F.coalesce("_base", F.lit(0)) + local).drop("_block", "_one", "_base")
+def sessions(rows: DataFrame, key: str, place: str, timeout: int, bits: int = BITS) -> DataFrame:
+    """key, first, last, n: the rows of a key, by a place that is a time, cut where the pause before one
+    reaches ``timeout``.
 
-
-def runs(lines: DataFrame, timeout_ms: int, bits: int = BITS) -> DataFrame:
+    Sessions inside a block are final; only the first and last of each block meet those of its
+    neighbours, two summaries a block.
+    """
+    cut = blocked(rows, place, bits)
+    w = Window.partitionBy(key, "_block").orderBy(place)
+    was = F.lag(place).over(w)
+    cut = cut.withColumn("_new", (was.isNull() | (F.col(place) - was >= timeout)).cast("long"))
+    cut = cut.withColumn("_k", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    local = cut.groupBy(key, "_block", "_k").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
+    local = local.withColumn("_edge", (F.col("_k") == 1) | (F.col("_k") == F.max("_k").over(Window.partitionBy(key, "_block"))))
+    edges, order = local.where("_edge"), Window.partitionBy(key).orderBy("first")
+    before = F.lag("last").over(order)
+    edges = edges.withColumn("_new", (before.isNull() | (F.col("first") - before >= timeout)).cast("long"))
+    edges = edges.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = edges.groupBy(key, "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    shown = [key, "first", "last", "n"]
+    return local.where("not _edge").select(*shown).unionByName(merged.select(*shown))
+
+
+def runs(lines: DataFrame, timeout_ms: int, bits: int = BITS, carry: bool = True) -> DataFrame:
     """``lines`` (token, ord, ts_ms, own, cmd; no token is null) with their place in a run.
 
     Adds run_no (from 1), subject (the last ``own`` of the run so far), run_first_ms (the
     earliest ts_ms of the run so far) and exit (ord and name of the next command line of the
     token that exited, this one included).  A run begins where ts_ms is ``timeout_ms`` or more after the
-    latest before it.
+    latest before it.  Without ``carry`` all lines are known to lie in one block.
     """
     cut, key = blocked(lines, "ord", bits), ["token", "_block"]
     before, upto = blocks_before("token"), inside("token", "ord")
-    newest = cut.groupBy(*key).agg(F.max("ts_ms").alias("_newest"))
-    newest = newest.select(*key, F.max("_newest").over(before).alias("_newest")).where("_newest is not null")
-    prior = F.greatest("_newest", F.max("ts_ms").over(inside("token", "ord", -1)))
-    d = cut.join(newest, key, "left").withColumn("_new", (prior.isNull() | (F.col("ts_ms") - prior >= timeout_ms)).cast("long")).drop("_newest")
+    prior = F.max("ts_ms").over(inside("token", "ord", -1))
+    if carry:
+        newest = cut.groupBy(*key).agg(F.max("ts_ms").alias("_newest"))
+        newest = newest.select(*key, F.max("_newest").over(before).alias("_newest")).where("_newest is not null")
+        cut, prior = cut.join(newest, key, "left"), F.greatest("_newest", prior)
+    d = cut.withColumn("_new", (prior.isNull() | (F.col("ts_ms") - prior >= timeout_ms)).cast("long")).drop("_newest")
     d = d.withColumn("_k", F.sum("_new").over(upto))
     # a run without a subject yet hides that of the run before
     named = F.when(F.col("own").isNotNull(), F.struct("own")).when(F.col("_new") == 1, F.struct(F.lit(None).cast(lines.schema["own"].dataType).alias("own")))
@@ -73,6 +89,9 @@ def runs(lines: DataFrame, timeout_ms: int, bits: int = BITS) -> DataFrame:
     # read from the end, so that each row's frame grows by one row
     back = Window.partitionBy(*key).orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumns({"_own": F.last(named, ignorenulls=True).over(upto), "_first": F.min(F.struct((-F.col("_k")).alias("k"), "ts_ms")).over(upto)["ts_ms"], "_exit": F.last(exited, ignorenulls=True).over(back)})
+    if not carry:
+        whole = {"run_no": F.col("_k"), "subject": F.col("_own")["own"], "run_first_ms": F.col("_first"), "exit": F.col("_exit")}
+        return d.withColumns(whole).drop("_block", "_new", "_k", "_own", "_first", "_exit")
     ends = d.groupBy(*key).agg(F.sum("_new").alias("n"), F.max_by("_own", "ord").alias("own"), F.max_by("_first", "ord").alias("first"), F.min(exited).alias("exit"))
     ends = ends.withColumn("open", F.sum("n").over(Window.partitionBy("token").orderBy("_block")))
     # of the blocks before, those with the highest number end in the run that is open

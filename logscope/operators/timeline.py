@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logscope.operators.scan import numbered_runs, previous
+from logscope.operators import scan
 
 
 def seconds(lines: DataFrame, newest_ms: int | None = None) -> DataFrame:
@@ -39,7 +39,5 @@ def sliding_rate(per_second: DataFrame, secs: int) -> DataFrame:
 def sessions(rows: DataFrame, key: str, ts_ms: str, timeout_ms: int) -> DataFrame:
     """key, first_ms, last_ms, n: rows of a key split where the gap reaches the timeout."""
     # blocks of 2 ** 20 ms, some 17 minutes
-    cut = previous(rows.where(F.col(ts_ms).isNotNull()), key, ts_ms, F.struct(F.col(ts_ms).alias("ms")), "_was", bits=20)
-    cut = cut.withColumn("_new", F.col("_was").isNull() | (F.col(ts_ms) - F.col("_was.ms") >= timeout_ms))
-    cut = numbered_runs(cut, key, ts_ms, "_new", "_run", bits=20)
-    return cut.groupBy(key, "_run").agg(F.min(ts_ms).alias("first_ms"), F.max(ts_ms).alias("last_ms"), F.count("*").alias("n")).drop("_run")
+    made = scan.sessions(rows.where(F.col(ts_ms).isNotNull()), key, ts_ms, timeout_ms, bits=20)
+    return made.select(key, F.col("first").alias("first_ms"), F.col("last").alias("last_ms"), "n")

@@ -40,16 +40,29 @@ def brute(lines, timeout):
     return out
 
 
-@pytest.mark.parametrize(("bits", "seed"), [(3, 1), (5, 2), (17, 3)])
-def test_runs_equal_a_loop(spark, bits, seed):
+@pytest.mark.parametrize(("bits", "seed", "carry"), [(3, 1, True), (5, 2, True), (17, 3, True), (17, 4, False)])
+def test_runs_equal_a_loop(spark, bits, seed, carry):
     lines = log(400, seed)
     want = brute(lines, 100)
-    got = scan.runs(spark.createDataFrame(lines, LINE).repartition(5), 100, bits).collect()
+    got = scan.runs(spark.createDataFrame(lines, LINE).repartition(5), 100, bits, carry).collect()
     assert len(got) == len(lines)
     for r in got:
         assert (r.run_no, r.subject and tuple(r.subject), r.run_first_ms, r.exit and tuple(r.exit)) == want[r.ord], r.ord
 
 
+@pytest.mark.parametrize("bits", [6, 12, 14, 30])
+def test_sessions_over_blocks(spark, bits):
+    rng = random.Random(bits)
+    times = [sorted(rng.randrange(40_000) for _ in range(n)) for n in (1, 200, 40)]
+    rows = [(str(k), t) for k, of in enumerate(times) for t in of]
+    got = sorted(tuple(r) for r in scan.sessions(spark.createDataFrame(rows, "key string, ms long"), "key", "ms", 300, bits).collect())
+    want = []
+    for k, of in enumerate(times):
+        cut = [0, *(i for i in range(1, len(of)) if of[i] - of[i - 1] >= 300), len(of)]
+        want += [(str(k), of[a], of[b - 1], b - a) for a, b in zip(cut, cut[1:])]
+    assert got == sorted(want)
+
+
 @pytest.mark.parametrize("bits", [2, 17])
 def test_previous_row_and_sessions(spark, bits):
     rng = random.Random(4)
