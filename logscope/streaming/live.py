@@ -41,6 +41,9 @@ class Live(Analysis):
     def all(self) -> DataFrame:
         return self.shared.plan
 
+    def narrow(self, *columns: str) -> DataFrame:
+        return self.entries.select(*columns)
+
 
 def write_typed(lines: DataFrame, path: str, checkpoint: str, every: str = "1 second") -> StreamingQuery:
     """Append the typed lines of a stream to a table, so that each line is parsed once for all
