@@ -36,7 +36,7 @@ class Ceiled(Analysis):
 
     def __init__(self, a: Analysis, limits: dict[str, int] | None = None, shapes: int = SHAPES):
         self.options, self.shared, self.inside = a.options, a.shared, a.inside
-        self._kept, self._owner, self.whole = [], False, a
+        self._kept, self._over, self._owner, self.whole = [], {}, False, a
         self.limits, self.shapes = {**CEILINGS, **(limits or {})}, shapes
 
     @cached_property
@@ -44,6 +44,10 @@ class Ceiled(Analysis):
         """name, key, at: where each key of each table by lines comes first; kept."""
         return self.keep(tables.key_places(self.whole))
 
+    def over(self, *columns: str) -> Analysis:
+        """Itself: refused keys are taken from lines with all columns."""
+        return self
+
     def admitted(self, name: str) -> DataFrame:
         """The keys of a table that are detailed."""
         return self.first.where(F.col("name") == name).orderBy("at", "key").limit(self.limits[name]).select("key")

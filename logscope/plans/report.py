@@ -101,6 +101,7 @@ def list_rows(a: Analysis, what: str, top: int | None = None) -> DataFrame:
 def snapshot(a: Analysis, skipped: int = 0, generated: datetime | None = None) -> dict:
     """All counters and lists (K02), under its ceilings if it is a ``Ceiled`` analysis; a rate
     without a population is null."""
+    a.all  # typed in full at once, as the lists read every column
     t, now = tables.totals(a).first().asDict(), generated or datetime.now(UTC)
     status = {r["class"]: r["count"] for r in tables.status_classes(a).collect()}
     seconds = timeline.seconds(a.lines, a.shared.launched_ms or None)

@@ -44,6 +44,10 @@ class Live(Analysis):
     def narrow(self, *columns: str) -> DataFrame:
         return self.entries.select(*columns)
 
+    def over(self, *columns: str) -> Live:
+        """Itself: nothing is written of a stream's lines."""
+        return self
+
 
 def write_typed(lines: DataFrame, path: str, checkpoint: str, every: str = "1 second") -> StreamingQuery:
     """Append the typed lines of a stream to a table, so that each line is parsed once for all

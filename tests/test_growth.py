@@ -7,6 +7,7 @@ from logscope.functions.parse import parse
 from logscope.operators import scan, tables
 from logscope.operators.analysis import Analysis, Lines, Options
 from logscope.sources import virtual
+from logscope.sources.varied import varied_log
 
 LINE = '{{"message":"m","context":{{"status":{},"Status":7}},"level":200,"channel":"Console","extra":{{"token":"t"}}}}'
 
@@ -52,3 +53,31 @@ def test_runs_are_dealt_over_the_tasks_that_are_asked_for(spark):
     rows = spark.range(4000).selectExpr("CAST(id % 500 AS STRING) AS token", "id AS ord", "id * 10 AS ts_ms", *none)
     got = scan.runs(rows, 5000, parts=23)
     assert got.groupBy(F.spark_partition_id()).count().count() == 23
+
+
+SQL = '{{"message":"Executing","context":{{"sql":"SELECT {}"}},"level":200,"channel":"doctrine","extra":{{"token":"t"}}}}'
+ERROR = '{"message":"Gone","context":{"request_uri":"/a?b"},"level":400,"channel":"app","extra":{"token":"t"}}'
+ASKED = Options(duration_key="duration_ms", correlate_key="token", nplus1=2)
+
+
+def written(shared):
+    return {c for df in shared._narrow.values() for c in df.columns}
+
+
+def test_a_table_of_runs_types_only_what_it_reads(spark):
+    for table, left_out in ((tables.errors, {"sql", "http", "msg", "depr", "status"}),):
+        shared, whole = (lines(spark, ERROR, SQL.format(1), SQL.format(1), ERROR) for _ in range(2))
+        a = Analysis(shared, ASKED)
+        got = sorted(map(str, table(a).collect()))
+        assert got and "typed" not in shared.__dict__ and written(shared) and not written(shared) & left_out
+        assert whole.typed.count() == 4 and sorted(map(str, table(Analysis(whole, ASKED)).collect())) == got
+        a.close(), shared.close(), whole.close()
+
+
+def test_many_tables_of_one_log_type_it_twice_at_most(spark):
+    shared = lines(spark, ERROR, SQL.format(1))
+    a = Analysis(shared, ASKED)
+    assert tables.totals(a).first()["errors"] == 1 and len(shared._narrow) == 1
+    assert [r["count"] for r in tables.errors(a).collect()] == [1]
+    assert len(shared._narrow) == 1 and "typed" in shared.__dict__
+    a.close(), shared.close()
