@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logscope.operators import tables
-from logscope.operators.analysis import Analysis
+from logscope.operators.analysis import RUNS, Analysis
 
 # The metrics by unit, and those that may name an endpoint or command.
 DURATIONS = ("p50", "p95", "p99", "max", "http-client-p50", "http-client-p95", "http-client-p99", "http-client-max")
@@ -70,11 +70,13 @@ class Tables:
     """The tables that thresholds look into, each made once however many ask for it."""
 
     def __init__(self, a: Analysis):
-        self.a, self._made = a, {}
+        self.a, self._made = a.over(*RUNS, *tables.SCALARS), {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self._made:
-            self._made[name] = self.a.keep(getattr(tables, name)(self.a))
+            # no threshold is on what these are of runs
+            lines = {"in_runs": False} if name in ("outbound", "commands", "messages") else {}
+            self._made[name] = self.a.keep(getattr(tables, name)(self.a, **lines))
         return self._made[name]
 
 

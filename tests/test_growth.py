@@ -81,3 +81,14 @@ def test_many_tables_of_one_log_type_it_twice_at_most(spark):
     assert [r["count"] for r in tables.errors(a).collect()] == [1]
     assert len(shared._narrow) == 1 and "typed" in shared.__dict__
     a.close(), shared.close()
+
+
+def test_tables_without_what_they_are_of_runs_cut_no_runs(spark, sf):
+    shared = Lines(parse(varied_log(spark.read.parquet(f"{sf}/events.parquet").limit(400))).where("level is not null"))
+    assert shared.typed.count() == 400
+    a, made = Analysis(shared, ASKED), (tables.commands, tables.cache_keys, tables.messages, tables.outbound)
+    short = [table(a, in_runs=False) for table in made]
+    got = [sorted(map(str, df.collect())) for df in short]
+    assert all(got) and "enriched" not in vars(a)
+    assert [sorted(map(str, table(a).select(*df.columns).collect())) for table, df in zip(made, short)] == got
+    a.close(), shared.close()
