@@ -65,7 +65,7 @@ def written(shared):
 
 
 def test_a_table_of_runs_types_only_what_it_reads(spark):
-    for table, left_out in ((tables.errors, {"sql", "http", "msg", "depr", "status"}),):
+    for table, left_out in ((tables.errors, {"sql", "http", "msg", "depr", "status"}), (tables.nplus1, {"message", "context_json", "signature", "depr"})):
         shared, whole = (lines(spark, ERROR, SQL.format(1), SQL.format(1), ERROR) for _ in range(2))
         a = Analysis(shared, ASKED)
         got = sorted(map(str, table(a).collect()))
