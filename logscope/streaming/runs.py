@@ -150,6 +150,9 @@ class Closed:
     def run_shapes(self) -> DataFrame:
         return self.closed.select("token", "run_no", F.inline("shapes"), "name", "last_ms").select("token", "run_no", F.col("what"), "shape", "n", "name", "last_ms")
 
+    def repeated(self, what: str) -> DataFrame:
+        return self.run_shapes.where(F.col("what") == what)
+
 
 def _state(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
     return spark.read.format("statestore").option("stateVarName", variable).load(checkpoint)

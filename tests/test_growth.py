@@ -92,3 +92,32 @@ def test_tables_without_what_they_are_of_runs_cut_no_runs(spark, sf):
     assert all(got) and "enriched" not in vars(a)
     assert [sorted(map(str, table(a).select(*df.columns).collect())) for table, df in zip(made, short)] == got
     a.close(), shared.close()
+
+
+def test_repeated_things_are_typed_and_cut_with_their_own_column(spark, sf):
+    log = parse(varied_log(spark.read.parquet(f"{sf}/events.parquet"))).where("level is not null")
+    whole = Lines(log)
+    assert whole.typed.count() > 0
+    asked = Options(duration_key="duration_ms", correlate_key="token", timeout_ms=86_400_000)
+    some = 0
+    for what, column in (("sql", "sql"), ("call", "http"), ("message", "msg"), ("cache", "cache")):
+        shared = Lines(log)
+        a, b = Analysis(shared, asked), Analysis(whole, asked)
+        shown = ("token", "run_no", "shape", "n", "first_ord", "name", "last_ms")
+        got = sorted(map(str, a.repeated(what).select(*shown).collect()))
+        assert written(shared) & {"sql", "http", "msg", "cache", "cmd"} == {column} and "enriched" not in vars(a)
+        assert got == sorted(map(str, b.run_shapes.where(F.col("what") == what).select(*shown).collect()))
+        some += bool(got)
+        a.close(), b.close(), shared.close()
+    assert some > 1
+    whole.close()
+
+
+@pytest.mark.parametrize("carry", [True, False])
+def test_numbers_of_runs_alone_equal_those_of_runs(spark, carry):
+    none = "CAST(NULL AS STRUCT<kind: STRING, name: STRING>) AS own", "CAST(NULL AS STRUCT<name: STRING, exited: BOOLEAN>) AS cmd"
+    rows = spark.range(3000).selectExpr("CAST(id % 7 AS STRING) AS token", "id AS ord", "id * 10 + id DIV 500 * 9000 AS ts_ms", *none)
+    bits = 6 if carry else 20
+    numbers = lambda df: sorted(map(tuple, df.select("token", "ord", "run_no").collect()))
+    got = numbers(scan.numbered(rows, 5000, bits=bits, carry=carry, parts=5))
+    assert got == numbers(scan.runs(rows, 5000, bits=bits, carry=carry, parts=5)) and max(x[2] for x in got) > 3
