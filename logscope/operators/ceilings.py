@@ -39,6 +39,11 @@ class Ceiled(Analysis):
         self._kept, self._over, self._owner, self.whole = [], {}, False, a
         self.limits, self.shapes = {**CEILINGS, **(limits or {})}, shapes
 
+    @property
+    def _found(self) -> dict:
+        """That of the same lines without ceilings."""
+        return self.whole._found
+
     @cached_property
     def first(self) -> DataFrame:
         """name, key, at: where each key of each table by lines comes first; kept."""
@@ -74,7 +79,7 @@ class Ceiled(Analysis):
         sql = counted.where("what = 'sql'").join(F.broadcast(self.admitted("sql").withColumnRenamed("key", "shape")), "shape", "left_semi")
         rest = counted.where("what <> 'sql'").unionByName(sql.select(counted.columns))
         nth = F.row_number().over(Window.partitionBy("token", "run_no", "what").orderBy("first_ord", "shape"))
-        return self.keep(rest.withColumn("_nth", nth).where(F.col("_nth") <= self.shapes).drop("_nth"))
+        return self.keep(rest.repartition(self._parts, "token", "run_no").withColumn("_nth", nth).where(F.col("_nth") <= self.shapes).drop("_nth"))
 
     def close(self) -> None:
         super().close()
