@@ -114,3 +114,32 @@ def test_links_of_a_long_word_stay_linear(spark):
     )
     r = op11.aligned(block).first()
     assert (r.n_groups, len(r.links)) == (2, 2 * (2 * n - 1))
+
+
+def test_each_shape_of_a_block_is_laid_out_once(spark, sides):
+    """Lambdas see the different pairs of lengths of words, not each different word."""
+    words = [f" {a}{b}" for a in "bcdfghklmnprstvz" for b in ("aja", "uxo", "eqi", "owu")]
+    shapes = {tuple(tuple(len(x) for _, x in side(w[1:])) for side in sides) for w in words}
+    block = op11.tokenised(frame(spark, ["".join(words)[1:]]).coalesce(1), *map(tokenizer_path, FILES)).first()
+    assert len(block["shape"]) == len(words) > len(block["word_ends"]) == len(shapes)
+
+
+@pytest.mark.parametrize("kept", [0, 40, 10**9])
+def test_words_are_remembered_and_forgotten(monkeypatch, sides, kept):
+    monkeypatch.setattr(op11, "KEPT", kept)
+    code = op11.Both(*map(tokenizer_path, FILES))
+    texts = ["one two three", None, "two  two \x1cone", "日本語" * 100 + " three", "", "a▁b one"] + mixed(20) + ["x" * 300 + " two", "one two three"]
+    for _ in range(2):
+        for t in texts:
+            a, b, shape, a_ends, b_ends, word_ends, own, n_a, n_b, words = code.block([t, "one two", t])
+            assert sum(map(len, code.number)) == code.held <= kept + sum(len(x or "") + 1 for x in (t, "one two", t))
+            want = [[i for i, _ in side(t)] if t and "▁" not in t else [] for side in sides]
+            assert [n_a[0], n_b[0], own[2], n_a[2], n_b[2]] == [len(want[0]), len(want[1]), own[0], n_a[0], n_b[0]]
+            assert len(shape) == len(set(words.tolist())) and len(word_ends) == len(set(shape.tolist()))
+            for ids, ends, ours in ((a, a_ends, want[0]), (b, b_ends, want[1])):
+                # tokens of each shape, then of each word
+                count = [sum(lo < e <= hi for e in ends) for lo, hi in zip([0, *word_ends], word_ends)]
+                at = [0]
+                for s in shape:
+                    at.append(at[-1] + count[s])
+                assert [i for w in words[: own[0]] for i in ids[at[w] : at[w + 1]]] == ours
