@@ -51,8 +51,8 @@ TOGETHER, LONG = 4096, 256
 HEAD = 200_000
 #: Characters of the texts whose different words are aligned together.
 BLOCK = 1_000_000
-#: Characters of words that a Python worker remembers: some 50 MB with their ids.
-KEPT = 1_500_000
+#: Characters of words that a Python worker remembers: some 30 MB with their ids.
+KEPT = 1_000_000
 #: Size of what goes to Python at once, be it texts or blocks of some megabytes.
 BATCH = "8m"
 
@@ -355,13 +355,18 @@ def pair_counts(links: DataFrame) -> DataFrame:
 def align(docs: DataFrame, byte_file: str, piece_file: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, head: int = HEAD) -> DataFrame:
     """``id_col``, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 for every row.
 
-    The alignments are written once.  The ``head`` pairs with the highest counts, a table of
+    Blocks are written before they are aligned, so that a core has one Python worker at a time
+    (two in a row swap roles, and each then holds the vocabularies).  The alignments are written once.  The ``head`` pairs with the highest counts, a table of
     fixed size, are broadcast, and what they give is summed where the links are; links of
     rarer pairs, by then one row for each text and pair, meet their counts in a shuffle.
     """
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
-    with settings(docs.sparkSession, spark__sql__execution__arrow__maxBytesPerBatch=BATCH):
-        rows = table(aligned(tokenised(docs, byte_file, piece_file, id_col, text_col, block)).withColumn("groups_sha256", digest).drop("groups"), "aligned")
+    spark = docs.sparkSession
+    with settings(spark, spark__sql__execution__arrow__maxBytesPerBatch=BATCH):
+        blocks = table(tokenised(docs, byte_file, piece_file, id_col, text_col, block), "blocks")
+        # a row is a block of some megabytes
+        with settings(spark, spark__sql__parquet__columnarReaderBatchSize="4"):
+            rows = table(aligned(blocks).withColumn("groups_sha256", digest).drop("groups"), "aligned")
     counts = table(pair_counts(rows), "counts")
     most = table(counts.orderBy(F.desc("count"), "pair").limit(head), "head")
     links = rows.select("row", F.explode("links").alias("pair")).join(F.broadcast(most), "pair", "left")
